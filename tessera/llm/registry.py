@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, warc
+from . import mixing, packing, pii, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op5_pivotal_mixing": mixing.op5_pivotal_mixing,
+        "op7_information_sanitisation": pii.op7_information_sanitisation,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op10_warc_index": warc.op10_warc_index,
     }
