@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, pii, warc
+from . import mixing, packing, pii, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_segment_toxicity": toxicity.op2_segment_toxicity,
         "op5_pivotal_mixing": mixing.op5_pivotal_mixing,
         "op7_information_sanitisation": pii.op7_information_sanitisation,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
