@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, pii, toxicity, warc
+from . import mixing, neardup, packing, pii, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op2_segment_toxicity": toxicity.op2_segment_toxicity,
         "op5_pivotal_mixing": mixing.op5_pivotal_mixing,
+        "op6_weighted_minhash": neardup.op6_weighted_minhash,
         "op7_information_sanitisation": pii.op7_information_sanitisation,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op10_warc_index": warc.op10_warc_index,

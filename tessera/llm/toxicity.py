@@ -39,7 +39,8 @@ SIGNIFICANT, THRESHOLD = 0.01, 0.7
 #: Bins of evidence, two for each unit of -ln P.
 BINS = 128
 WORD = re.compile(r"[^\W\d_]+")
-REMEMBERED = 300_000
+REMEMBERED = 600_000
+MASK = (1 << BITS) - 1
 SCORED = "doc_id long, tokens long, evidence double, best double, passages array<struct<start:int,end:int,expected:double>>"
 
 
@@ -49,16 +50,15 @@ class Model(NamedTuple):
     rate: float
     log_k: float
 
-    def table(self) -> np.ndarray:
-        out = np.zeros(1 << BITS, dtype=np.float32)
-        out[self.buckets] = self.values
-        return out
+    def table(self) -> dict[int, float]:
+        return dict(zip(self.buckets.tolist(), self.values.astype(float).tolist(), strict=True))
 
 
-def forms(word: str) -> set[int]:
+def forms(word: str) -> list[int]:
     """The buckets of a word's forms."""
-    own = {word, *(word[:k] + "*" for k in (4, 5, 6) if len(word) >= k)}
-    return {zlib.crc32(x.encode()) & ((1 << BITS) - 1) for x in own}
+    n = len(word)
+    own = (word,) if n < 4 else (word, word[:4] + "*") if n == 4 else (word, word[:4] + "*", word[:5] + "*") if n == 5 else (word, word[:4] + "*", word[:5] + "*", word[:6] + "*")
+    return [zlib.crc32(x.encode()) & MASK for x in own]
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -113,7 +113,7 @@ def _counted(rows: DataFrame) -> DataFrame:
                         if len(known) > REMEMBERED:
                             known.clear()
                         got = known[w] = forms(w)
-                    own |= got
+                    own.update(got)
                 counts[int(toxic), list(own)] += 1
         at = np.flatnonzero(counts.any(axis=0))
         for k in range(0, len(at), 1 << 17):
@@ -161,11 +161,14 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
-        table, known = model.table(), {}
+        weight, known = model.table().get, {}
 
         def value(w: str) -> float:
-            got = table[list(forms(w))]
-            return float(got[np.abs(got).argmax()]) - DRIFT
+            most = 0.0
+            for b in forms(w):
+                if (v := weight(b)) is not None and abs(v) > abs(most):
+                    most = v
+            return most - DRIFT
 
         for batch in batches:
             out = []
