@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neardup, packing, pii, toxicity, warc
+from . import mixing, neardup, packing, pii, sharding, toxicity, vectors, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_size_tiered_shards": sharding.op1_size_tiered_shards,
         "op2_segment_toxicity": toxicity.op2_segment_toxicity,
+        "op3_subspace_pigeonhole": vectors.op3_subspace_pigeonhole,
         "op5_pivotal_mixing": mixing.op5_pivotal_mixing,
         "op6_weighted_minhash": neardup.op6_weighted_minhash,
         "op7_information_sanitisation": pii.op7_information_sanitisation,
