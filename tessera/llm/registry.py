@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neardup, packing, pii, sharding, toxicity, vectors, warc
+from . import media, mixing, neardup, packing, pii, sharding, toxicity, vectors, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,7 @@ def queries() -> dict[str, Query]:
         "op6_weighted_minhash": neardup.op6_weighted_minhash,
         "op7_information_sanitisation": pii.op7_information_sanitisation,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
+        "op9_lossless_webp": media.op9_lossless_webp,
         "op10_warc_index": warc.op10_warc_index,
     }
 
