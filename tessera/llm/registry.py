@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, neardup, packing, pii, sharding, toxicity, vectors, warc
+from . import media, mixing, neardup, packing, pii, repeats, sharding, toxicity, vectors, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op1_size_tiered_shards": sharding.op1_size_tiered_shards,
         "op2_segment_toxicity": toxicity.op2_segment_toxicity,
         "op3_subspace_pigeonhole": vectors.op3_subspace_pigeonhole,
+        "op4_run_length_index": repeats.op4_run_length_index,
         "op5_pivotal_mixing": mixing.op5_pivotal_mixing,
         "op6_weighted_minhash": neardup.op6_weighted_minhash,
         "op7_information_sanitisation": pii.op7_information_sanitisation,
