@@ -6,11 +6,12 @@ of words, not of shingles: a shingle that an edit has made unique would else out
 so the more copies there are. They are counted over all documents in 2^BITS hash buckets, a bound on what is broadcast.
 
 SAMPLES consistent weighted samples of each distinct text agree with those of another as often as their weighted Jaccard
-similarity says. Texts that agree on all ROWS samples of a band meet in a bucket; there whole signatures are compared in
-blocks, and pairs that agree on at least CLOSE of the samples become candidates, except where both agree on SURE with a text
-before them in the bucket and so hang together anyway. Buckets above TILE texts are compared in tiles of two chunks each, by
-several tasks. Candidates are verified on the texts: weighted Jaccard similarity of at least THRESHOLD is a link. Classes are
-the connected components of links; identical texts are one node from the start.
+similarity says. Texts that agree on all ROWS samples of a band meet in a bucket; there whole signatures are compared, and
+pairs that agree on at least CLOSE of the samples may be near-duplicates. A group of copies would give pairs by the square
+of its size, so a first search takes a spanning forest of each bucket's pairs, the best first, and a second one all pairs
+whose ends are not in one class yet. Buckets above TILE texts are searched in tiles of two chunks each, by several tasks.
+Candidates are verified on the texts: weighted Jaccard similarity of at least THRESHOLD is a link. Classes are the connected
+components of links; identical texts are one node from the start.
 
 Defined cases: texts without words (null and empty ones among them) have no shingles, resemble nothing and are classes of
 their own; rows that share a doc_id are one node; a null doc_id is a node named by minus one less the text's hash; an empty
@@ -34,7 +35,7 @@ from .components import components
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 4
 SAMPLES = BANDS * ROWS
-CLOSE, SURE = 0.6, 0.95
+CLOSE = 0.6
 BITS, TILE, SLICE = 18, 4096, 4_000_000
 U = np.uint64
 M = U(0x9E3779B97F4A7C15)
@@ -191,40 +192,56 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), -1 - F.abs(F.xxhash64(text) % F.lit(1 << 62))).alias("doc_id"), F.md5(text).alias("text_key"), text.alias("text"))
 
 
-def close_pairs(marks: np.ndarray, tile: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[int, int]]:
-    """Pairs of rows that agree on CLOSE of the marks, but for those whose both ends agree on SURE with a row before them."""
-    n, need, sure = len(marks), int(np.ceil(CLOSE * SAMPLES)), int(np.ceil(SURE * SAMPLES))
-    hung = np.zeros(n, dtype=bool)
-    left, right = tile if tile else (None, None)
-    for i in range(n):
-        if hung[i] or (left is not None and not left[i]):
-            continue
-        same = np.count_nonzero(marks == marks[i], axis=1)
-        close = same >= need
-        close[i] = False
-        if right is not None:
-            close &= right
-        close &= hung | (np.arange(n) > i) if left is None else True
-        yield from ((i, j) for j in np.flatnonzero(close).tolist())
-        hung |= (same >= sure) & close
-
-
-def candidates(signed: DataFrame) -> DataFrame:
-    """a < b: pairs to verify. signed: doc_id, bands, marks of distinct texts."""
+NEED = int(np.ceil(CLOSE * SAMPLES))
+
+
+def closest_pairs(marks: np.ndarray) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the rows that agree on NEED marks, the best agreements first (Prim): fewer pairs than rows."""
+    n = len(marks)
+    if n == 2:
+        if np.count_nonzero(marks[0] == marks[1]) >= NEED:
+            yield 0, 1
+        return
+    best, link, at = np.full(n, -1), np.zeros(n, dtype=np.int64), 0
+    for _ in range(n):
+        if best[at] >= NEED:
+            yield int(link[at]), at
+        best[at] = -3  # done
+        same = np.count_nonzero(marks == marks[at], axis=1)
+        better = (same > best) & (best > -3)
+        best[better], link[better] = same[better], at
+        at = int(best.argmax())
+        if best[at] == -3:
+            return
+
+
+def open_pairs(marks: np.ndarray, group: np.ndarray) -> Iterator[tuple[int, int]]:
+    """All pairs of rows of different groups that agree on NEED marks."""
+    for i in range(len(marks) - 1):
+        close = (group[i + 1 :] != group[i]) & (np.count_nonzero(marks[i + 1 :] == marks[i], axis=1) >= NEED)
+        yield from ((i, i + 1 + j) for j in np.flatnonzero(close).tolist())
+
+
+def buckets(signed: DataFrame) -> DataFrame:
+    """bucket, i, j, doc_id, marks: the rows of each tile of a bucket with company. signed: doc_id, bands, marks of distinct texts."""
     rows = signed.filter("bands is not null").select(F.explode("bands").alias("bucket"), "doc_id", "marks")
     counts = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = rows.join(counts, "bucket")
+    rows = rows.join(counts.hint("merge"), "bucket")
     chunks = F.ceil(F.col("n") / F.lit(TILE)).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), chunks.cast("long")).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), chunks - 1), lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j")))
-    rows = rows.select("bucket", "doc_id", "marks", own.alias("chunk"), F.explode(tiles).alias("tile")).select("bucket", "doc_id", "marks", "chunk", "tile.i", "tile.j")
+    return rows.select("bucket", "doc_id", "marks", F.explode(tiles).alias("tile")).select("bucket", "tile.i", "tile.j", "doc_id", "marks")
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """a < b: pairs to verify in each tile. rows: buckets(), and the class that each document is known to be in if this is not the first search."""
+    again = "class_id" in rows.columns
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(group: pa.Table) -> tuple[list[int], list[int]]:
             ids = group.column("doc_id").to_numpy()
             marks = np.frombuffer(b"".join(group.column("marks").to_pylist()), dtype=np.uint8).reshape(-1, SAMPLES)
-            chunk, i, j = group.column("chunk").to_numpy(), group.column("i")[0].as_py(), group.column("j")[0].as_py()
-            found = list(close_pairs(marks, None if i == j else (chunk == i, chunk == j)))
+            found = list(open_pairs(marks, group.column("class_id").to_numpy()) if again else closest_pairs(marks))
             return [min(ids[x], ids[y]) for x, y in found], [max(ids[x], ids[y]) for x, y in found]
 
         held: list[pa.RecordBatch] = []
@@ -275,11 +292,16 @@ def links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Dat
     firsts = signed.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
     firsts = common.stored(firsts, "near-firsts")
     members = signed.select("doc_id", "text_key").join(firsts.select("text_key", F.col("doc_id").alias("first")), "text_key").select("doc_id", "first")
-    pairs = common.stored(candidates(firsts), "near-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = keyed(docs).select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-    texts = common.stored(texts, "near-texts").dropDuplicates(["doc_id"])
-    return common.stored(verified(pairs, texts, idf, threshold), "near-links"), members
+    met = common.stored(buckets(firsts), "near-buckets")
+    pairs = common.stored(candidates(met), "near-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()  # the forest holds each document of any pair
+    texts = common.stored(keyed(docs).select("doc_id", "text").join(wanted.hint("merge"), "doc_id", "left_semi"), "near-texts").dropDuplicates(["doc_id"])
+    sure = common.stored(verified(pairs, texts, idf, threshold), "near-links")
+    # what the first search has not joined yet is compared whole
+    known = components(sure)
+    named = met.join(known.hint("merge"), F.col("doc_id") == F.col("node"), "left").select(*met.columns, F.coalesce("component", "doc_id").alias("class_id"))
+    rest = common.stored(verified(candidates(named), texts, idf, threshold), "near-links")
+    return sure.unionByName(rest), members
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
