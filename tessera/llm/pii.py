@@ -121,14 +121,17 @@ def disclosing(keyed: DataFrame, near: DataFrame, threshold: float = THRESHOLD,
     """entity, term of the pairs whose disclosure reaches the threshold. keyed: key, text; near: key, entity, term, one row a text and pair."""
     pairs = near.groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= support)
     entities = near.select("key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("df_entity"))
-    pairs = common.stored(pairs.join(entities, "entity"), "pii-pairs")
+    total = keyed.select("key").distinct().count()
+    own = F.log(F.lit(float(total)) / F.col("df_entity"))
+    gain = lambda df: F.log(F.lit(float(total)) * F.col("both") / (F.greatest(df, "both") * F.col("df_entity")))
+    # a term stands in no fewer texts than it stands in near entities: what fails by that number needs no count of all texts
+    nearby = near.select("key", "term").distinct().groupBy("term").agg(F.count("*").alias("df_near"))
+    pairs = pairs.join(entities, "entity").join(nearby, "term").filter((own > 0) & (gain("df_near") >= F.lit(threshold) * own))
+    pairs = common.stored(pairs, "pii-pairs")
     candidates = common.stored(pairs.select("term").distinct(), "pii-terms")
     words = keyed.select("key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
     terms = words.join(candidates, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("df_term"))
-    total = keyed.select("key").distinct().count()
-    own = F.log(F.lit(float(total)) / F.col("df_entity"))
-    gain = F.log(F.lit(float(total)) * F.col("both") / (F.greatest("df_term", "both") * F.col("df_entity")))
-    return pairs.join(terms, "term").filter((own > 0) & (gain >= F.lit(threshold) * own)).select("entity", "term")
+    return pairs.join(terms, "term").filter(gain("df_term") >= F.lit(threshold) * own).select("entity", "term")
 
 
 def term_spans(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
