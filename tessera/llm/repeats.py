@@ -240,7 +240,8 @@ class RunLengthIndex:
             step = rank * (n + 1) + beyond
             order = np.argsort(step, kind="stable")
             width *= 2
-        before = padded[order - 1] if n else data
+        before = padded[order - 1].astype(np.int16)
+        before[order == 0] = 256  # nothing stands before the first place, so its match is a sample of its own
         edge = np.flatnonzero(before[1:] != before[:-1]) + 1  # a run begins at each
         tails, heads = order[edge - 1], order[edge]
         match = np.zeros(len(edge), dtype=np.int64)
