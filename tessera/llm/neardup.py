@@ -8,9 +8,11 @@ so the more copies there are. They are counted over all documents in 2^BITS hash
 SAMPLES consistent weighted samples of each distinct text agree with those of another as often as their weighted Jaccard
 similarity says. Texts that agree on all ROWS samples of a band meet in a bucket; there whole signatures are compared, and
 pairs that agree on at least CLOSE of the samples may be near-duplicates. A group of copies would give pairs by the square
-of its size, so a first search takes a spanning forest of each bucket's pairs, the best first, and a second one all pairs
-whose ends are not in one class yet. Buckets above TILE texts are searched in tiles of two chunks each, by several tasks.
-Candidates are verified on the texts: weighted Jaccard similarity of at least THRESHOLD is a link. Classes are the connected
+of its size, so a first search takes a spanning forest of each bucket's pairs, the best first, and a second one judges all
+pairs whose ends are not in one class yet: their texts' shingles come to the bucket, each pair is verified in the first band
+that it shares, and only links that join two classes leave it, so that no step makes more rows than there are documents in
+buckets. Buckets above TILE texts or HELD shingles are searched in tiles of two chunks each, by several tasks.
+A pair is a link where its weighted Jaccard similarity, of whole texts, is at least THRESHOLD. Classes are the connected
 components of links; identical texts are one node from the start.
 
 Defined cases: texts without words (null and empty ones among them) have no shingles, resemble nothing and are classes of
@@ -36,7 +38,7 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 4
 SAMPLES = BANDS * ROWS
 CLOSE = 0.6
-BITS, TILE, SLICE = 18, 4096, 4_000_000
+BITS, TILE, HELD, SLICE = 18, 4096, 4_000_000, 4_000_000
 U = np.uint64
 M = U(0x9E3779B97F4A7C15)
 M_INVERSE = U(pow(int(M), -1, 1 << 64))
@@ -162,15 +164,16 @@ def frequencies(docs: DataFrame) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, idf) -> DataFrame:
-    """doc_id, text_key, bands array<long> (null without words), marks binary (a byte of each sample). idf: broadcast."""
+    """doc_id, text_key, bands array<long> (null without words), marks binary (a byte of each sample), size (distinct shingles). idf: broadcast."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(idf.value)
         for batch in batches:
             texts = batch.column("text")
             for a, b in slices(texts):
-                bands, marks = [], []
+                bands, marks, size = [], [], []
                 for own, weights in shingles.of(texts.slice(a, b - a)):
+                    size.append(len(own))
                     if not len(own):
                         bands.append(None)
                         marks.append(None)
@@ -181,9 +184,9 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
                         x = mixed(x * M + row)
                     bands.append(x.astype(np.int64))
                     marks.append((s & U(255)).astype(np.uint8).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("text_key").slice(a, b - a), pa.array(bands, type=pa.list_(pa.int64())), pa.array(marks, type=pa.binary())], names=["doc_id", "text_key", "bands", "marks"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("text_key").slice(a, b - a), pa.array(bands, type=pa.list_(pa.int64())), pa.array(marks, type=pa.binary()), pa.array(size, type=pa.int64())], names=["doc_id", "text_key", "bands", "marks", "size"])
 
-    return keyed(docs).mapInArrow(kernel, "doc_id long, text_key string, bands array<long>, marks binary")
+    return keyed(docs).mapInArrow(kernel, "doc_id long, text_key string, bands array<long>, marks binary, size long")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -215,56 +218,145 @@ def closest_pairs(marks: np.ndarray) -> Iterator[tuple[int, int]]:
             return
 
 
-def open_pairs(marks: np.ndarray, group: np.ndarray) -> Iterator[tuple[int, int]]:
-    """All pairs of rows of different groups that agree on NEED marks."""
+def open_rows(marks: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Which rows agree on NEED marks with a row of another group."""
+    out = np.zeros(len(marks), dtype=bool)
+    if (group == group[0]).all():
+        return out
     for i in range(len(marks) - 1):
         close = (group[i + 1 :] != group[i]) & (np.count_nonzero(marks[i + 1 :] == marks[i], axis=1) >= NEED)
-        yield from ((i, i + 1 + j) for j in np.flatnonzero(close).tolist())
+        out[i + 1 :] |= close
+        out[i] |= close.any()
+    return out
+
+
+def joining_pairs(marks: np.ndarray, group: np.ndarray, bands: np.ndarray, bucket: int, keys: list[np.ndarray], weights: list[np.ndarray], threshold: float) -> Iterator[tuple[int, int, float]]:
+    """Pairs of similarity threshold and above that join two groups, each judged in the first band it shares; groups merge as they are found."""
+    group = np.unique(group, return_inverse=True)[1]
+    places, flat = np.unique(np.concatenate(keys), return_inverse=True)[1], np.concatenate(weights)
+    ends = np.cumsum([len(k) for k in keys])
+    starts = ends - [len(k) for k in keys]
+    total = np.add.reduceat(flat, starts, dtype=float)
+    own = np.zeros(int(places.max()) + 1, dtype=np.float32)
+    for i in range(len(keys) - 1):
+        shared = bands[i + 1 :] == bands[i]
+        near = (group[i + 1 :] != group[i]) & (bands[i][shared.argmax(axis=1)] == bucket) & shared.any(axis=1)
+        near &= np.count_nonzero(marks[i + 1 :] == marks[i], axis=1) >= NEED
+        near &= np.minimum(total[i + 1 :], total[i]) >= 0.999 * threshold * np.maximum(total[i + 1 :], total[i])
+        at = np.flatnonzero(near) + i + 1
+        if not len(at):
+            continue
+        own[places[starts[i] : ends[i]]] = weights[i]
+        if len(at) < 32:
+            both = np.array([np.minimum(own[places[starts[j] : ends[j]]], weights[j]).sum(dtype=float) for j in at])
+        else:
+            low = starts[at[0]]
+            both = np.add.reduceat(np.minimum(own[places[low:]], flat[low:]), starts[at[0] :] - low, dtype=float)[at - at[0]]
+        own[places[starts[i] : ends[i]]] = 0
+        score = both / (total[i] + total[at] - both)
+        for j, x in zip(at[score >= threshold].tolist(), score[score >= threshold].tolist(), strict=True):
+            if group[j] != group[i]:
+                yield i, j, x
+                group[group == group[j]] = group[i]
 
 
 def buckets(signed: DataFrame) -> DataFrame:
-    """bucket, i, j, doc_id, marks: the rows of each tile of a bucket with company. signed: doc_id, bands, marks of distinct texts."""
-    rows = signed.filter("bands is not null").select(F.explode("bands").alias("bucket"), "doc_id", "marks")
-    counts = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    """bucket, i, j, doc_id, marks: the rows of each tile of a bucket with company. signed: doc_id, bands, marks, size of distinct texts."""
+    rows = signed.filter("bands is not null").select(F.explode("bands").alias("bucket"), "doc_id", "marks", "size")
+    counts = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("held")).filter("n > 1")
     rows = rows.join(counts.hint("merge"), "bucket")
-    chunks = F.ceil(F.col("n") / F.lit(TILE)).cast("int")
+    chunks = F.ceil(F.greatest(F.col("n") / F.lit(TILE), F.col("held") / F.lit(HELD))).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), chunks.cast("long")).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), chunks - 1), lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j")))
     return rows.select("bucket", "doc_id", "marks", F.explode(tiles).alias("tile")).select("bucket", "tile.i", "tile.j", "doc_id", "marks")
 
 
+def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
+    """Rows sorted by tile, and where in them each whole tile of two rows or more begins and ends."""
+    held: list[pa.RecordBatch] = []
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            held.append(batch)
+        rows = pa.Table.from_batches(held) if held else None
+        if rows is None or not len(rows):
+            continue
+        key = [rows.column(c).to_numpy() for c in ("bucket", "i", "j")]
+        new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
+        bounds = [0, *new.tolist(), *([len(rows)] if batch is None else [])]
+        yield rows, [(x, y) for x, y in zip(bounds, bounds[1:], strict=False) if y - x > 1]
+        held = rows.slice(bounds[-1]).combine_chunks().to_batches() if batch is not None else []
+
+
+def by_tile(rows: DataFrame) -> DataFrame:
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "doc_id")
+
+
+def marks_of(group: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(group.column("marks").to_pylist()), dtype=np.uint8).reshape(-1, SAMPLES)
+
+
 def candidates(rows: DataFrame) -> DataFrame:
-    """a < b: pairs to verify in each tile. rows: buckets(), and the class that each document is known to be in if this is not the first search."""
-    again = "class_id" in rows.columns
+    """a < b: the pairs of each tile's forest. rows: buckets()."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(group: pa.Table) -> tuple[list[int], list[int]]:
-            ids = group.column("doc_id").to_numpy()
-            marks = np.frombuffer(b"".join(group.column("marks").to_pylist()), dtype=np.uint8).reshape(-1, SAMPLES)
-            found = list(open_pairs(marks, group.column("class_id").to_numpy()) if again else closest_pairs(marks))
-            return [min(ids[x], ids[y]) for x, y in found], [max(ids[x], ids[y]) for x, y in found]
-
-        held: list[pa.RecordBatch] = []
-        for batch in chain(batches, [None]):
-            if batch is not None:
-                held.append(batch)
-            rows = pa.Table.from_batches(held) if held else None
-            if rows is None or not len(rows):
-                continue
-            key = [rows.column(c).to_numpy() for c in ("bucket", "i", "j")]
-            new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
-            bounds = [0, *new.tolist(), *([len(rows)] if batch is None else [])]
+        for rows, tiles in tiled(batches):
             a, b = [], []
-            for x, y in zip(bounds, bounds[1:], strict=False):
-                if y - x > 1:
-                    p, q = pairs(rows.slice(x, y - x))
-                    a += p
-                    b += q
-            held = rows.slice(bounds[-1]).combine_chunks().to_batches() if batch is not None else []
+            for x, y in tiles:
+                group = rows.slice(x, y - x)
+                ids = group.column("doc_id").to_numpy()
+                found = list(closest_pairs(marks_of(group)))
+                a += [min(ids[x], ids[y]) for x, y in found]
+                b += [max(ids[x], ids[y]) for x, y in found]
             yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], names=["a", "b"])
 
-    dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "doc_id")
-    return dealt.mapInArrow(kernel, "a long, b long").filter("a <> b").distinct()
+    return by_tile(rows).mapInArrow(kernel, "a long, b long").filter("a <> b").distinct()
+
+
+def apart(rows: DataFrame) -> DataFrame:
+    """The rows that are close to one of another class in their tile. rows: buckets(), and the class_id that each document is known to be in."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, tiles in tiled(batches):
+            kept = np.zeros(len(rows), dtype=bool)
+            for x, y in tiles:
+                group = rows.slice(x, y - x)
+                kept[x:y] = open_rows(marks_of(group), group.column("class_id").to_numpy())
+            yield from rows.filter(pa.array(kept)).to_batches()
+
+    return by_tile(rows).mapInArrow(kernel, rows.schema)
+
+
+def joining(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """a, b, similarity: links that join the classes of each tile. rows: apart(), with bands, and keys and weights of vectors()."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, tiles in tiled(batches):
+            a, b, score = [], [], []
+            for x, y in tiles:
+                group = rows.slice(x, y - x)
+                ids, bands = group.column("doc_id").to_numpy(), np.array(group.column("bands").to_pylist(), dtype=np.int64)
+                keys = [np.frombuffer(v, dtype=U) for v in group.column("keys").to_pylist()]
+                weights = [np.frombuffer(v, dtype=np.float32) for v in group.column("weights").to_pylist()]
+                for p, q, s in joining_pairs(marks_of(group), group.column("class_id").to_numpy(), bands, group.column("bucket")[0].as_py(), keys, weights, threshold):
+                    a.append(min(ids[p], ids[q]))
+                    b.append(max(ids[p], ids[q]))
+                    score.append(s)
+            yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64()), pa.array(score, type=pa.float64())], names=["a", "b", "similarity"])
+
+    return by_tile(rows).mapInArrow(kernel, "a long, b long, similarity double")
+
+
+def vectors(texts: DataFrame, idf) -> DataFrame:
+    """doc_id, keys and weights: the shingles of each text. texts: doc_id, text."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(idf.value)
+        for batch in batches:
+            for a, b in slices(batch.column("text")):
+                own = list(shingles.of(batch.column("text").slice(a, b - a)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([k.tobytes() for k, _ in own], type=pa.binary()), pa.array([w.astype(np.float32).tobytes() for _, w in own], type=pa.binary())], names=["doc_id", "keys", "weights"])
+
+    return texts.select("doc_id", "text").mapInArrow(kernel, "doc_id long, keys binary, weights binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float = THRESHOLD) -> DataFrame:
@@ -284,12 +376,12 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float = THRESHO
 
 
 def links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(a, b, similarity) between the first documents of distinct texts, and doc_id, first of all documents."""
+    """(a, b, similarity): links between the first documents of distinct texts that join all classes; and doc_id, first of all documents."""
     spark = docs.sparkSession
     common.ship(spark)
     idf = spark.sparkContext.broadcast(frequencies(docs))
     signed = common.stored(signatures(docs, idf), "near-signed")
-    firsts = signed.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
+    firsts = signed.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("marks").alias("marks"), F.first("size").alias("size"))
     firsts = common.stored(firsts, "near-firsts")
     members = signed.select("doc_id", "text_key").join(firsts.select("text_key", F.col("doc_id").alias("first")), "text_key").select("doc_id", "first")
     met = common.stored(buckets(firsts), "near-buckets")
@@ -300,7 +392,10 @@ def links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Dat
     # what the first search has not joined yet is compared whole
     known = components(sure)
     named = met.join(known.hint("merge"), F.col("doc_id") == F.col("node"), "left").select(*met.columns, F.coalesce("component", "doc_id").alias("class_id"))
-    rest = common.stored(verified(candidates(named), texts, idf, threshold), "near-links")
+    left = common.stored(apart(named), "near-apart")
+    some = texts.join(left.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+    whole = left.join(firsts.select("doc_id", "bands").hint("merge"), "doc_id").join(vectors(some, idf).hint("merge"), "doc_id")
+    rest = common.stored(joining(whole, threshold), "near-links")
     return sure.unionByName(rest), members
 
 
