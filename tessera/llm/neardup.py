@@ -218,27 +218,38 @@ def closest_pairs(marks: np.ndarray) -> Iterator[tuple[int, int]]:
             return
 
 
+def strangers_first(group: np.ndarray) -> tuple[np.ndarray, int]:
+    """An order of the rows with the largest group last, and how many rows are outside it: every pair of different groups has an end among those."""
+    names, at, n = np.unique(group, return_inverse=True, return_counts=True)
+    largest = at == n.argmax()
+    return np.argsort(largest, kind="stable"), int(len(group) - n.max())
+
+
 def open_rows(marks: np.ndarray, group: np.ndarray) -> np.ndarray:
     """Which rows agree on NEED marks with a row of another group."""
-    out = np.zeros(len(marks), dtype=bool)
-    if (group == group[0]).all():
-        return out
-    for i in range(len(marks) - 1):
+    order, outside = strangers_first(group)
+    marks, group = marks[order], group[order]
+    found = np.zeros(len(marks), dtype=bool)
+    for i in range(min(outside, len(marks) - 1)):
         close = (group[i + 1 :] != group[i]) & (np.count_nonzero(marks[i + 1 :] == marks[i], axis=1) >= NEED)
-        out[i + 1 :] |= close
-        out[i] |= close.any()
+        found[i + 1 :] |= close
+        found[i] |= close.any()
+    out = np.empty_like(found)
+    out[order] = found
     return out
 
 
 def joining_pairs(marks: np.ndarray, group: np.ndarray, bands: np.ndarray, bucket: int, keys: list[np.ndarray], weights: list[np.ndarray], threshold: float) -> Iterator[tuple[int, int, float]]:
     """Pairs of similarity threshold and above that join two groups, each judged in the first band it shares; groups merge as they are found."""
-    group = np.unique(group, return_inverse=True)[1]
+    order, outside = strangers_first(group)
+    marks, bands, group = marks[order], bands[order], np.unique(group[order], return_inverse=True)[1]
+    keys, weights = [keys[k] for k in order], [weights[k] for k in order]
     places, flat = np.unique(np.concatenate(keys), return_inverse=True)[1], np.concatenate(weights)
     ends = np.cumsum([len(k) for k in keys])
     starts = ends - [len(k) for k in keys]
     total = np.add.reduceat(flat, starts, dtype=float)
     own = np.zeros(int(places.max()) + 1, dtype=np.float32)
-    for i in range(len(keys) - 1):
+    for i in range(min(outside, len(keys) - 1)):
         shared = bands[i + 1 :] == bands[i]
         near = (group[i + 1 :] != group[i]) & (bands[i][shared.argmax(axis=1)] == bucket) & shared.any(axis=1)
         near &= np.count_nonzero(marks[i + 1 :] == marks[i], axis=1) >= NEED
@@ -256,7 +267,7 @@ def joining_pairs(marks: np.ndarray, group: np.ndarray, bands: np.ndarray, bucke
         score = both / (total[i] + total[at] - both)
         for j, x in zip(at[score >= threshold].tolist(), score[score >= threshold].tolist(), strict=True):
             if group[j] != group[i]:
-                yield i, j, x
+                yield int(order[i]), int(order[j]), x
                 group[group == group[j]] = group[i]
 
 

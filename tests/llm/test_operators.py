@@ -215,3 +215,26 @@ def test_shards(spark, docs, none, tmp_path, rows):
     empty = sharding.Store(spark, f"file://{tmp_path}/e", none.schema)
     empty.append(none)
     assert empty.compact() == 1 and empty.read().count() == 0
+
+
+def test_near_duplicates_of_different_groups_against_all_pairs():
+    r = np.random.default_rng(1)
+    for _ in range(20):
+        k = int(r.integers(2, 70))
+        base = r.integers(0, 1 << 60, 60, dtype=np.uint64)
+        keys = [np.unique(np.concatenate([r.choice(base, 50, replace=False), r.integers(0, 1 << 60, int(r.integers(0, 9)), dtype=np.uint64)])) for _ in range(k)]
+        weights = [(1 + a % np.uint64(3)).astype(np.float32) for a in keys]
+        group = r.integers(0, max(2, k // 2), k)
+
+        def merged(pairs, group=group):
+            label = group.copy()
+            for i, j in pairs:
+                label[label == label[j]] = label[i]
+            return {frozenset(np.flatnonzero(label == v).tolist()) for v in set(label.tolist())}
+
+        found = neardup.joining_pairs(np.zeros((k, neardup.SAMPLES), dtype=np.uint8), group, np.full((k, neardup.BANDS), 7), 7, keys, weights, 0.8)
+        every = [(i, j) for i in range(k) for j in range(i) if neardup.similarity((keys[i], weights[i]), (keys[j], weights[j])) >= 0.8]
+        assert merged([(i, j) for i, j, _ in found]) == merged(every)
+        marks = r.integers(0, 3, (k, neardup.SAMPLES)).astype(np.uint8) // 2
+        near = [any(group[i] != group[j] and (marks[i] == marks[j]).sum() >= neardup.NEED for j in range(k)) for i in range(k)]
+        assert neardup.open_rows(marks, group).tolist() == near
