@@ -386,8 +386,9 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float = THRESHO
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(kernel, "a long, b long, similarity double")
 
 
-def links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(a, b, similarity): links between the first documents of distinct texts that join all classes; and doc_id, first of all documents."""
+def links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(a, b, similarity): links between the first documents of distinct texts that join all classes; (a, b): the same classes,
+    with those that the first search found as stars; and doc_id, first of all documents."""
     spark = docs.sparkSession
     common.ship(spark)
     idf = spark.sparkContext.broadcast(frequencies(docs))
@@ -407,13 +408,14 @@ def links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Dat
     some = texts.join(left.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
     whole = left.join(firsts.select("doc_id", "bands").hint("merge"), "doc_id").join(vectors(some, idf).hint("merge"), "doc_id")
     rest = common.stored(joining(whole, threshold), "near-links")
-    return sure.unionByName(rest), members
+    stars = known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest.select("a", "b"))
+    return sure.unionByName(rest), stars, members
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its class), kept (whether it is that one): one row a document row."""
-    linked, members = links(docs, threshold)
-    rows = members.join(components(linked), F.col("first") == F.col("node"), "left")
+    _, stars, members = links(docs, threshold)
+    rows = members.join(components(stars), F.col("first") == F.col("node"), "left")
     return rows.select("doc_id", F.coalesce("component", "first").alias("class_id")).withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
