@@ -6,8 +6,9 @@ Over the distinct texts of the corpus, df(t), df(e) and df(t, e) count texts wit
 near each other. The term's disclosure of the entity is its pointwise mutual information over the entity's information,
 log(N df(t,e) / (df(t) df(e))) / log(N / df(e)): 1 where the term always stands by the entity, 0 where it tells nothing.
 Pairs seen in fewer than SUPPORT distinct texts estimate nothing and disclose nothing. A term whose disclosure reaches
-THRESHOLD is marked wherever it stands near that entity. In the cleaned text base spans are generalised to their kind and
-disclosing terms are removed.
+THRESHOLD is marked at all its places in all texts, as it gives the entity away wherever it is read. Words are read outside
+base spans, which are generalised anyway. In the cleaned text base spans are generalised to their kind and disclosing terms
+are removed.
 
 The patterns are written so that Java's matcher neither backtracks nor recurses on long runs; where the plain form would
 try every start in a run of the same characters, a look-behind lets only the run's start (or the end of the match before)
@@ -19,7 +20,7 @@ null or repeated doc_ids are kept row by row; an empty table gives an empty resu
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,8 +65,8 @@ def _valid(kind: str, found: Column) -> Column:
     return F.length(digits).between(16, 19) & _luhn(digits)
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """All matches of a pattern: array<struct<start, end, found>>, code points, end exclusive.
+def matches(text: Column, pattern: str, wanted: Callable[[Column], Column] | None = None) -> Column:
+    """All matches of a pattern, or those wanted: array<struct<start, end, found>>, code points, end exclusive.
 
     What lies between matches comes from splitting at them, so running lengths give the offsets.
     """
@@ -77,7 +78,8 @@ def matches(text: Column, pattern: str) -> Column:
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
         end = begin + F.length(x["found"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["found"].alias("found")))).alias("out"))
+        more = F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["found"].alias("found"))))
+        return F.struct(end.alias("at"), (more if wanted is None else F.when(wanted(x["found"]), more).otherwise(acc["out"])).alias("out"))
 
     return F.aggregate(both, start, step, lambda acc: acc["out"])
 
@@ -96,6 +98,30 @@ def with_base(docs: DataFrame) -> DataFrame:
     return docs.withColumn("base", F.concat(*[F.col(f"_{k}") for k in KINDS])).drop(*[f"_{k}" for k in KINDS])
 
 
+def blanked(text: Column, base: Column) -> Column:
+    """text with white space in place of its base spans, every other character where it was."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        out = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.repeat(F.lit(" "), x["end"] - F.greatest(x["start"], acc["at"])))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
+
+    order = F.sort_array(F.transform(base, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
+    return F.when(F.size(base) > 0, F.aggregate(order, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))).otherwise(text)
+
+
+def _words(text: Column, base: Column) -> Column:
+    """The distinct words outside base spans."""
+    return F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(blanked(text, base), F.lit(TERM), F.lit(0))), F.lower))
+
+
+def _places(text: Column, base: Column, told: Column) -> Column:
+    """array<struct<kind, start, end, found>>: all places of the terms told, by start; none where told is null."""
+    found = matches(blanked(text, base), TERM, lambda w: F.array_contains(told, F.lower(w)))
+    spans = F.transform(found, lambda x: F.struct(F.lit("term").alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lower(x["found"]).alias("found")))
+    return F.when(told.isNotNull(), spans).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,found:string>>"))
+
+
 def _near(text: Column, base: Column) -> Column:
     """array<struct<entity, term, start, end>>: the words within NEAR of each base span."""
     side = NEAR * 40
@@ -117,31 +143,29 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text", common.text_of()).withColumn("key", F.md5("text"))
 
 
-def disclosing(keyed: DataFrame, near: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
-    """entity, term of the pairs whose disclosure reaches the threshold. keyed: key, text; near: key, entity, term, one row a text and pair."""
+def disclosing(held: DataFrame, near: DataFrame, total: int, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
+    """entity, term of the pairs whose disclosure reaches the threshold. held: key, term of all texts; near: key, entity, term; one row a text and pair."""
     pairs = near.groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= support)
     entities = near.select("key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("df_entity"))
-    total = keyed.select("key").distinct().count()
     own = F.log(F.lit(float(total)) / F.col("df_entity"))
     gain = lambda df: F.log(F.lit(float(total)) * F.col("both") / (F.greatest(df, "both") * F.col("df_entity")))
     # a term stands in no fewer texts than it stands in near entities: what fails by that number needs no count of all texts
     nearby = near.select("key", "term").distinct().groupBy("term").agg(F.count("*").alias("df_near"))
-    pairs = pairs.join(entities, "entity").join(nearby, "term").filter((own > 0) & (gain("df_near") >= F.lit(threshold) * own))
-    pairs = common.stored(pairs, "pii-pairs")
+    pairs = common.stored(pairs.join(entities, "entity").join(nearby, "term").filter((own > 0) & (gain("df_near") >= F.lit(threshold) * own)), "pii-pairs")
     candidates = common.stored(pairs.select("term").distinct(), "pii-terms")
-    words = keyed.select("key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    terms = words.join(candidates, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("df_term"))
+    terms = held.join(candidates, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_term"))
     return pairs.join(terms, "term").filter(gain("df_term") >= F.lit(threshold) * own).select("entity", "term")
 
 
-def term_spans(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
-    """key, terms: array<struct<kind, start, end, found>> of the texts that hold disclosing terms."""
-    keyed = _keyed(docs.select("text"))
-    near = with_base(keyed).filter(F.size("base") > 0).select("key", F.explode(_near(F.col("text"), F.col("base"))).alias("n")).select("key", "n.*").distinct()
-    near = common.stored(near, "pii-near")
-    pairs = common.stored(disclosing(keyed, near.select("key", "entity", "term").distinct(), threshold, support), "pii-disclosing")
-    spans = near.join(pairs, ["entity", "term"], "left_semi").select("key", F.struct(F.lit("term").alias("kind"), "start", "end", F.col("term").alias("found")).alias("span")).distinct()
-    return common.stored(spans.groupBy("key").agg(F.sort_array(F.collect_list("span")).alias("terms")), "pii-spans")
+def told_terms(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
+    """key, told: array<string>: the disclosing terms of the texts that hold any, near their entity or not."""
+    keyed = with_base(_keyed(docs.select("text")))
+    near = keyed.filter(F.size("base") > 0).select("key", F.explode(_near(F.col("text"), F.col("base"))).alias("n")).select("key", "n.*")
+    near = common.stored(near.select("key", "entity", "term").distinct(), "pii-near")
+    held = common.stored(keyed.select("key", _words(F.col("text"), F.col("base")).alias("words")).dropDuplicates(["key"]), "pii-words")
+    terms = held.select("key", F.explode("words").alias("term"))
+    found = common.stored(disclosing(terms, near, held.count(), threshold, support).select("term").distinct(), "pii-disclosing")
+    return common.stored(terms.join(found, "term").groupBy("key").agg(F.collect_list("term").alias("told")), "pii-told")
 
 
 def listed(spans: Column) -> Column:
@@ -151,20 +175,17 @@ def listed(spans: Column) -> Column:
 
 def spans(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
     """doc_id, base, terms: the spans of every document."""
-    terms = term_spans(docs, threshold, support)
-    rows = common.stored(with_base(_keyed(docs.select("doc_id", "text"))).select("doc_id", "key", "base"), "pii-base")
-    empty = F.array().cast(terms.schema["terms"].dataType)
-    return rows.join(terms, "key", "left").select("doc_id", "base", F.coalesce("terms", empty).alias("terms"))
+    rows = with_base(_keyed(docs.select("doc_id", "text"))).join(told_terms(docs, threshold, support), "key", "left")
+    return rows.select("doc_id", "base", _places(F.col("text"), F.col("base"), F.col("told")).alias("terms"))
 
 
 def cleaned(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
     """docs with all their columns; in text, base spans are generalised to [KIND] and disclosing terms removed. Texts without spans, null among them, stay as they are."""
-    terms = term_spans(docs, threshold, support).withColumnsRenamed({"key": "_key", "terms": "_terms"})
-    signed = F.coalesce(reduce(lambda a, b: a | b, [F.col("text").rlike(s) for s in SIGNS.values()]), F.lit(False))
     names = docs.columns
-    some = with_base(docs.filter(signed).withColumn("_doc", F.struct(*[F.col(f"`{c}`") for c in names])).select("_doc", "text")).withColumn("_md5", F.md5("text"))
-    some = some.join(terms, F.col("_md5") == F.col("_key"), "left")
-    every = F.sort_array(F.transform(F.concat("base", F.coalesce("_terms", F.array().cast(terms.schema["_terms"].dataType))), lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), x["kind"].alias("kind"))))
+    rows = docs.select("text", *[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(names) if c != "text"])
+    rows = with_base(rows.withColumn("key", F.md5(common.text_of()))).join(told_terms(docs, threshold, support), "key", "left")
+    rows = rows.withColumn("terms", _places(F.col("text"), F.col("base"), F.col("told")))
+    every = F.sort_array(F.transform(F.concat("base", "terms"), lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), x["kind"].alias("kind"))))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -174,8 +195,8 @@ def cleaned(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPOR
         return F.struct(F.greatest(acc["at"], end).alias("at"), F.when(x["start"] >= acc["at"], new).otherwise(acc["out"]).alias("out"))
 
     text = F.aggregate(every, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    some = some.withColumn("_new", F.when(F.size(every) > 0, text).otherwise(F.col("text"))).select(*[F.col("_new").alias(c) if c == "text" else F.col(f"_doc.`{c}`").alias(c) for c in names])
-    return docs.filter(~signed).unionByName(some)
+    new = F.when(F.size(every) > 0, text).otherwise(F.col("text"))
+    return rows.select(*[new.alias(c) if c == "text" else F.col(f"_{k}").alias(c) for k, c in enumerate(names)])
 
 
 def op7_information_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,6 +84,19 @@ def test_pii_terms_that_disclose(spark):
     assert all("quorl" in got[k] and "agent" not in got[k] for k in range(6)) and not any(got[k] for k in range(100, 180))
 
 
+def test_pii_terms_are_marked_at_all_their_places(spark):
+    r = random.Random(6)
+    word = lambda: "".join(r.choices("abcdefghij", k=6))
+    some = lambda n: " ".join(word() for _ in range(n))
+    told = [(k, f"é agent Quorl boss@x.y {some(9)} QUORL said {some(30)} quorl") for k in range(6)]
+    other = [(50, f"+1 555 123 4567 {some(4)}, Quorl, {some(3)}"), (51, f"{some(5)} Quorl"), (52, "quorl@z.y")] + [(100 + k, f"é {word()} agent {word()} boss {word()}") for k in range(200)]
+    docs = spark.createDataFrame(told + other, "doc_id long, text string")
+    want = {i: [(m.start(), m.end()) for m in re.finditer("quorl(?!@)", t.lower())] for i, t in told + other}
+    assert {x.doc_id: [(t.start, t.end) for t in x.terms] for x in pii.spans(docs).collect()} == want
+    texts = {x.doc_id: x.text for x in pii.cleaned(docs).collect()}
+    assert not any("quorl" in t.lower() for t in texts.values()) and texts[52] == "[EMAIL]" and all(texts[i] == t for i, t in other[3:])
+
+
 def test_segments_are_maximal():
     r = random.Random(2)
     for _ in range(200):
