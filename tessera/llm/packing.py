@@ -3,7 +3,8 @@
 Every document becomes token ids and one end id; only longer ones are cut, into full sequences and a last shorter piece.
 The pieces that are shorter than a sequence are dealt into shards of about SHARD pieces; each shard is packed by best fit
 in order of falling length and then improved: while an exchange between two underfull bins raises the sum of squared fills,
-one document moves, one is exchanged for one, or two for one, towards the fuller bin, so that the emptier one runs dry. A
+one document moves, one is exchanged for one, or two for one, towards the fuller bin, so that the emptier one runs dry. The
+search ends when no two bins have such an exchange left, which the rise of an integer sum below a bound brings about. A
 shard ends with one bin that has to stay underfull, so shards cost next to nothing and each is packed by itself.
 
 Defined cases: a null text is empty and becomes the end id alone; null doc_ids are ordinary values; identical rows are
@@ -15,8 +16,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -31,8 +33,8 @@ from . import common
 CAPACITY, SHARD = 2048, 50_000
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
-#: Words that a worker remembers the ids of, and sweeps of the local search.
-REMEMBERED, SWEEPS = 1_000_000, 8
+#: Words that a worker remembers the ids of.
+REMEMBERED = 1_000_000
 #: Bytes of text that are tokenised at once.
 SLICE = 12_000_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"
@@ -220,88 +222,126 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 
 
 class LocalSearch:
-    """Exchanges between underfull bins that raise the sum of squared fills, fuller bins gaining, until none is found."""
+    """Exchanges between underfull bins that raise the sum of squared fills, fuller bins gaining, until none is found.
+
+    A donor gives a tokens (one document or two) for b (one document, or 0 for none) to a taker of no more room than its own,
+    if 0 < a - b <= the taker's room. For each b, the most room of any bin that holds such a document therefore answers for
+    all of them: reach[b] is b and that room, and the least b < a with reach[b] >= a is the best exchange for a.
+    """
 
     def __init__(self, lengths: np.ndarray, bins: list[list[int]], capacity: int):
         self.n, self.capacity = lengths.astype(int).tolist(), capacity
         self.full = [b for b in bins if sum(self.n[i] for i in b) == capacity]
         self.open = [b for b in bins if sum(self.n[i] for i in b) < capacity]
+        self.room = [capacity - sum(self.n[i] for i in b) for b in self.open]
         self.moves = 0
-
-    def run(self, sweeps: int = SWEEPS) -> list[list[int]]:
-        for _ in range(sweeps):
+        #: length (0: any bin) -> room -> the bins, in order; and the rooms of each length as bits.
+        self.where: list[dict[int, dict[int, None]]] = [{} for _ in range(capacity + 1)]
+        self.bits = [0] * (capacity + 1)
+        self.lengths = np.arange(capacity + 1)
+        self.reach = np.full(capacity + 1, -1)
+
+    def run(self) -> list[list[int]]:
+        for b in range(len(self.open)):
+            self._enter(b)
+        before = -1
+        while self.moves != before:
             before = self.moves
             self._sweep()
-            if self.moves == before:
-                break
         return self.full + [b for b in self.open if b]
 
+    def _held(self, b: int) -> set[int]:
+        return {0, *(self.n[i] for i in self.open[b])}
+
+    def _enter(self, b: int) -> None:
+        room = self.room[b]
+        if not 0 < room < self.capacity:
+            return
+        for v in self._held(b):
+            self.where[v].setdefault(room, {})[b] = None
+            self.bits[v] |= 1 << room
+
+    def _leave(self, b: int) -> None:
+        room = self.room[b]
+        for v in self._held(b):
+            bins = self.where[v][room]
+            del bins[b]
+            if not bins:
+                del self.where[v][room]
+                self.bits[v] ^= 1 << room
+
+    def _refresh(self, lengths: Iterable[int], limit: int) -> None:
+        """reach of these lengths, over bins with no more room than limit."""
+        mask = (2 << limit) - 1
+        for v in lengths:
+            most = (self.bits[v] & mask).bit_length() - 1
+            self.reach[v] = v + most if most > 0 else -1
+
     def _sweep(self) -> None:
-        """The emptiest bins give: each in turn to the others, whose documents are found by length."""
-        n = self.n
-        fill = [sum(n[i] for i in b) for b in self.open]
-        order = sorted(range(len(self.open)), key=fill.__getitem__)
-        where: list[dict[int, int]] = [{} for _ in range(self.capacity + 1)]  # length -> room of its bin -> the bin
-        for b in order:
-            for i in self.open[b]:
-                where[n[i]].setdefault(self.capacity - fill[b], b)
-        rooms: dict[int, list[int]] = {}
-        for b in order:
-            rooms.setdefault(self.capacity - fill[b], []).append(b)
-        touched: set[int] = set()
-        for donor in order:
-            if donor in touched or not self.open[donor]:
+        """All bins give in order of falling room; one that gains on the way gives when its new room's turn comes."""
+        queue = [(-r, b) for b, r in enumerate(self.room) if 0 < r < self.capacity]
+        heapify(queue)
+        if not queue:
+            return
+        limit = -queue[0][0]
+        self._refresh(range(self.capacity + 1), limit)
+        while queue:
+            room, donor = heappop(queue)
+            if self.room[donor] != -room:
                 continue
-            for taker in self._takers(donor, fill, rooms, touched):
-                if self._give(donor, taker, fill):
-                    touched |= {donor, taker}
-                    break
-        self.full += [b for b, f in zip(self.open, fill, strict=True) if f == self.capacity]
-        self.open = [b for b, f in zip(self.open, fill, strict=True) if 0 < f < self.capacity]
-
-    def _takers(self, donor: int, fill: list[int], rooms: dict[int, list[int]], touched: set[int]) -> Iterator[int]:
-        """Fuller bins, from those with most room, one of each room: bins with the same room differ little."""
-        for room in sorted(rooms, reverse=True)[:64]:
-            for b in rooms[room]:
-                if b != donor and b not in touched and fill[b] >= fill[donor]:
-                    yield b
-                    break
-
-    def _give(self, donor: int, taker: int, fill: list[int]) -> bool:
-        """The exchange of these two that fills the taker most: a move, one for one or two for one."""
-        n, gap = self.n, self.capacity - fill[taker]
-        out, into = self.open[donor], self.open[taker]
-        best, plan = 0, None
-        by_length = sorted({n[j]: j for j in into}.items())
-        singles = sorted({n[i]: i for i in out}.items())
-        for a, i in singles:
-            if best < a <= gap:
-                best, plan = a, ((i,), ())
-            for b, j in by_length:
-                if best < a - b <= gap:
-                    best, plan = a - b, ((i,), (j,))
-        for x in range(len(out)):
-            for y in range(x):
-                a = n[out[x]] + n[out[y]]
-                if best < a <= gap:
-                    best, plan = a, ((out[x], out[y]), ())
-                for b, j in by_length:
-                    if best < a - b <= gap:
-                        best, plan = a - b, ((out[x], out[y]), (j,))
-        if plan is None:
-            return False
-        give, back = plan
-        self.open[donor] = [i for i in out if i not in give] + list(back)
-        self.open[taker] = [i for i in into if i not in back] + list(give)
-        fill[donor] -= best
-        fill[taker] += best
+            if -room < limit:
+                limit = -room
+                self._refresh(np.flatnonzero(self.reach > self.lengths + limit).tolist(), limit)
+            self._leave(donor)
+            self._refresh(self._held(donor), limit)
+            while self.open[donor] and (found := self._best(donor)):
+                taker = self._give(donor, *found, limit)
+                if self.room[taker]:
+                    heappush(queue, (-self.room[taker], taker))
+            self._enter(donor)
+            self._refresh(self._held(donor), limit)
+
+    def _best(self, donor: int) -> tuple[int, tuple[int, ...], int] | None:
+        """The exchange of this donor that moves most: how much, its documents, and the length that comes back."""
+        by_length: dict[int, list[int]] = {}
+        for i in self.open[donor]:
+            by_length.setdefault(self.n[i], []).append(i)
+        plans: dict[int, tuple[int, ...]] = {}
+        for x, (a, own) in enumerate(by_length.items()):
+            for y, (b, other) in enumerate(by_length.items()):
+                if y < x:
+                    plans[a + b] = (own[0], other[0])
+            if len(own) > 1:
+                plans[2 * a] = (own[0], own[1])
+        plans |= {a: (own[0],) for a, own in by_length.items()}
+        most, best = 0, None
+        for a, give in plans.items():
+            if most < a <= self.capacity:
+                able = self.reach[:a] >= a
+                b = int(able.argmax())
+                if able[b] and a - b > most:
+                    most, best = a - b, (a - b, give, b)
+        return best
+
+    def _give(self, donor: int, gain: int, give: tuple[int, ...], length: int, limit: int) -> int:
+        """Carries an exchange out; the taker."""
+        taker = next(iter(self.where[length][int(self.reach[length]) - length]))
+        back = [next(i for i in self.open[taker] if self.n[i] == length)] if length else []
+        changed = self._held(taker)
+        self._leave(taker)
+        self.open[donor] = [i for i in self.open[donor] if i not in give] + back
+        self.open[taker] = [i for i in self.open[taker] if i not in back] + list(give)
+        self.room[donor] += gain
+        self.room[taker] -= gain
+        self._enter(taker)
+        self._refresh(changed | self._held(taker), limit)
         self.moves += 1
-        return True
+        return taker
 
 
-def pack(lengths: np.ndarray, capacity: int = CAPACITY, sweeps: int = SWEEPS) -> list[list[int]]:
+def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
     """Bins of indices into lengths, none above capacity."""
-    return LocalSearch(lengths, best_fit(lengths, capacity), capacity).run(sweeps)
+    return LocalSearch(lengths, best_fit(lengths, capacity), capacity).run()
 
 
 def packed(cut: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:

@@ -186,6 +186,19 @@ def test_local_search_empties_bins():
     assert sorted(i for b in bins for i in b) == list(range(6)) and len(bins) == 2
 
 
+def test_local_search_leaves_no_exchange():
+    r = np.random.default_rng(8)
+    for lengths, capacity in [(r.integers(550, 1000, 1500), 2048), (r.integers(300, 900, 900), 2048), (r.integers(1, 40, 400), 50), (r.integers(1, 7, 50), 13), (np.full(9, 5), 14)]:
+        first = packing.best_fit(lengths, capacity)
+        bins = packing.pack(lengths, capacity)
+        fills = [int(lengths[b].sum()) for b in bins]
+        assert sorted(i for b in bins for i in b) == list(range(len(lengths))) and max(fills) <= capacity and len(bins) <= len(first)
+        given = [{int(lengths[i]) for i in b} | {int(lengths[i] + lengths[j]) for i in b for j in b if i < j} for b in bins]
+        back = [{0, *lengths[b].tolist()} for b in bins]
+        under = [k for k, f in enumerate(fills) if f < capacity]
+        assert not [1 for d in under for t in under if d != t and fills[t] >= fills[d] for a in given[d] for b in back[t] if 0 < a - b <= capacity - fills[t]]
+
+
 def test_webp_round_trips():
     r = np.random.default_rng(1)
     for image in (r.integers(0, 256, (5, 9, 4), dtype=np.uint8), r.integers(0, 3, (9, 20, 4), dtype=np.uint8), np.full((4, 7, 4), 9, np.uint8)):
