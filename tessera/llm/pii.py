@@ -1,10 +1,9 @@
 """Personal data, and terms that would give it away, found and generalised in DataFrame operations only.
 
 Base spans come from four patterns. On top of them a corpus model decides which terms reveal a protected entity: a term is
-a word, an entity the exact value of a base span, and both meet where the term stands within NEAR words of the entity.
-Over the distinct texts of the corpus, df(t), df(e) and df(t, e) count texts with the term, with the entity and with both
-near each other. The term's disclosure of the entity is its pointwise mutual information over the entity's information,
-log(N df(t,e) / (df(t) df(e))) / log(N / df(e)): 1 where the term always stands by the entity, 0 where it tells nothing.
+a word, an entity the exact value of a base span, and both meet in every text that holds them, however far apart. Over the
+distinct texts of the corpus, df(t), df(e) and df(t, e) count texts with the term, with the entity and with both. The term's disclosure of the entity is its pointwise mutual information over the entity's information,
+log(N df(t,e) / (df(t) df(e))) / log(N / df(e)): 1 where the term only stands in texts with the entity, 0 where it tells nothing.
 Pairs seen in fewer than SUPPORT distinct texts estimate nothing and disclose nothing. A term whose disclosure reaches
 THRESHOLD is marked at all its places in all texts, as it gives the entity away wherever it is read. Words are read outside
 base spans, which are generalised anyway. In the cleaned text base spans are generalised to their kind and disclosing terms
@@ -37,8 +36,8 @@ PATTERNS = {
 #: What a text must hold for a pattern to be tried.
 SIGNS = {"email": r"@[A-Za-z0-9-]+\.", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
 PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])?"
-#: Words on either side of an entity, texts that must show a pair, share of the entity's information.
-NEAR, SUPPORT, THRESHOLD = 3, 3, 0.9
+#: Texts that must show a pair, share of the entity's information.
+SUPPORT, THRESHOLD = 3, 0.9
 TERM = r"[\p{L}][\p{L}\p{M}'’-]*"
 
 
@@ -122,50 +121,42 @@ def _places(text: Column, base: Column, told: Column) -> Column:
     return F.when(told.isNotNull(), spans).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,found:string>>"))
 
 
-def _near(text: Column, base: Column) -> Column:
-    """array<struct<entity, term, start, end>>: the words within NEAR of each base span."""
-    side = NEAR * 40
-    words = lambda c: matches(c, TERM)
-
-    def around(e: Column) -> Column:
-        origin = F.greatest(e["start"] - side, F.lit(0))
-        entity = F.concat(e["kind"], F.lit(":"), e["found"])
-        shift = lambda at: lambda w: F.struct(entity.alias("entity"), F.lower(w["found"]).alias("term"), (at + w["start"]).alias("start"), (at + w["end"]).alias("end"))
-        before = words(F.substring(text, origin + 1, e["start"] - origin))
-        after = words(F.substring(text, e["end"] + 1, F.lit(side)))
-        return F.concat(F.transform(F.slice(before, F.greatest(F.size(before) - NEAR + 1, F.lit(1)), F.lit(NEAR)), shift(origin)), F.transform(F.slice(after, 1, NEAR), shift(e["end"])))
-
-    return F.flatten(F.transform(base, around))
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     """text (null: empty) and its key, beside the columns asked for."""
     return docs.withColumn("text", common.text_of()).withColumn("key", F.md5("text"))
 
 
-def disclosing(held: DataFrame, near: DataFrame, total: int, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
-    """entity, term of the pairs whose disclosure reaches the threshold. held: key, term of all texts; near: key, entity, term; one row a text and pair."""
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= support)
-    entities = near.select("key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("df_entity"))
-    own = F.log(F.lit(float(total)) / F.col("df_entity"))
-    gain = lambda df: F.log(F.lit(float(total)) * F.col("both") / (F.greatest(df, "both") * F.col("df_entity")))
-    # a term stands in no fewer texts than it stands in near entities: what fails by that number needs no count of all texts
-    nearby = near.select("key", "term").distinct().groupBy("term").agg(F.count("*").alias("df_near"))
-    pairs = common.stored(pairs.join(entities, "entity").join(nearby, "term").filter((own > 0) & (gain("df_near") >= F.lit(threshold) * own)), "pii-pairs")
-    candidates = common.stored(pairs.select("term").distinct(), "pii-terms")
-    terms = held.join(candidates, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_term"))
-    return pairs.join(terms, "term").filter(gain("df_term") >= F.lit(threshold) * own).select("entity", "term")
+def disclosing(texts: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
+    """entity, term of the pairs whose disclosure reaches the threshold. texts: key, entities, words, both distinct; one row a distinct text.
+
+    A pair is counted only if it could reach the threshold were it in all the texts that its rarer side is in: that takes
+    df(t) <= N (df(e) / N) ** threshold, and SUPPORT texts of either.
+    """
+    total = float(texts.count())
+    told = texts.select("key", F.explode("entities").alias("entity"))
+    entities = told.groupBy("entity").agg(F.count("*").alias("df_entity")).filter((F.col("df_entity") >= support) & (F.col("df_entity") < total))
+    entities = common.stored(entities, "pii-entities")
+    most = entities.agg(F.max("df_entity")).first()[0] or 0
+    bound = lambda df: F.lit(total) * F.pow(df / F.lit(max(total, 1.0)), F.lit(threshold)) * (1 + 1e-9)
+    terms = texts.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("df_term"))
+    terms = common.stored(terms.filter((F.col("df_term") >= support) & (F.col("df_term") <= bound(F.lit(float(most))))), "pii-terms")
+    holders = common.stored(told.join(entities, "entity"), "pii-holders")
+    words = texts.join(holders.select("key").distinct(), "key", "left_semi").select("key", F.explode("words").alias("term")).join(terms, "term")
+    met = words.join(holders, "key").filter(F.col("df_term") <= bound(F.col("df_entity")))
+    pairs = met.groupBy("entity", "term", "df_entity", "df_term").agg(F.count("*").alias("both")).filter(F.col("both") >= support)
+    own = F.log(F.lit(total) / F.col("df_entity"))
+    gain = F.log(F.lit(total) * F.col("both") / (F.col("df_term") * F.col("df_entity")))
+    return pairs.filter(gain >= F.lit(threshold) * own).select("entity", "term")
 
 
 def told_terms(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
-    """key, told: array<string>: the disclosing terms of the texts that hold any, near their entity or not."""
-    keyed = with_base(_keyed(docs.select("text")))
-    near = keyed.filter(F.size("base") > 0).select("key", F.explode(_near(F.col("text"), F.col("base"))).alias("n")).select("key", "n.*")
-    near = common.stored(near.select("key", "entity", "term").distinct(), "pii-near")
-    held = common.stored(keyed.select("key", _words(F.col("text"), F.col("base")).alias("words")).dropDuplicates(["key"]), "pii-words")
-    terms = held.select("key", F.explode("words").alias("term"))
-    found = common.stored(disclosing(terms, near, held.count(), threshold, support).select("term").distinct(), "pii-disclosing")
-    return common.stored(terms.join(found, "term").groupBy("key").agg(F.collect_list("term").alias("told")), "pii-told")
+    """key, told: array<string>: the disclosing terms of the texts that hold any, with their entity or without."""
+    entities = F.array_distinct(F.transform("base", lambda e: F.concat(e["kind"], F.lit(":"), e["found"])))
+    texts = with_base(_keyed(docs.select("text"))).select("key", entities.alias("entities"), _words(F.col("text"), F.col("base")).alias("words"))
+    texts = common.stored(texts.dropDuplicates(["key"]), "pii-texts")
+    found = common.stored(disclosing(texts, threshold, support).select("term").distinct(), "pii-disclosing")
+    held = texts.select("key", F.explode("words").alias("term")).join(found, "term")
+    return common.stored(held.groupBy("key").agg(F.collect_list("term").alias("told")), "pii-told")
 
 
 def listed(spans: Column) -> Column:

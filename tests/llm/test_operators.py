@@ -89,7 +89,7 @@ def test_pii_terms_are_marked_at_all_their_places(spark):
     word = lambda: "".join(r.choices("abcdefghij", k=6))
     some = lambda n: " ".join(word() for _ in range(n))
     told = [(k, f"é agent Quorl boss@x.y {some(9)} QUORL said {some(30)} quorl") for k in range(6)]
-    other = [(50, f"+1 555 123 4567 {some(4)}, Quorl, {some(3)}"), (51, f"{some(5)} Quorl"), (52, "quorl@z.y")] + [(100 + k, f"é {word()} agent {word()} boss {word()}") for k in range(200)]
+    other = [(50, f"+1 555 123 4567 {some(4)}, Quorl, {some(3)}"), (51, f"{some(5)} Quorl"), (52, "quorl@z.y")] + [(100 + k, f"é {word()} agent {word()} boss said {word()}") for k in range(200)]
     docs = spark.createDataFrame(told + other, "doc_id long, text string")
     want = {i: [(m.start(), m.end()) for m in re.finditer("quorl(?!@)", t.lower())] for i, t in told + other}
     assert {x.doc_id: [(t.start, t.end) for t in x.terms] for x in pii.spans(docs).collect()} == want
@@ -97,6 +97,28 @@ def test_pii_terms_are_marked_at_all_their_places(spark):
     assert not any("quorl" in t.lower() for t in texts.values()) and texts[52] == "[EMAIL]" and all(texts[i] == t for i, t in other[3:])
 
 
+def test_pii_terms_far_from_their_entity(spark):
+    r = random.Random(7)
+    some = lambda n: " ".join("".join(r.choices("abcdefghij", k=6)) for _ in range(n))
+    told = [(k, f"Verrin letter {some(60)} boss@x.y {some(5)} {' ' * 200} Tolm") for k in range(5)]
+    told += [(10 + k, f"letter Ombra {some(7)} {'+1 555 123 4567' if k else ''} {some(3)}") for k in range(5)]
+    other = [(100 + k, f"{some(3)} letter {some(3)}") for k in range(200)]
+    texts = told + other + told[:2] + [(None, None), (300, "")]
+    got = [(x.doc_id, [t.found for t in x.terms]) for x in pii.spans(spark.createDataFrame(texts, "doc_id long, text string")).collect()]
+
+    n, held, near = len({t or "" for _, t in texts}), {}, {}
+    for text in {t or "" for _, t in texts}:
+        entities = re.findall(r"\S+@\S+|\+1 555 123 4567", text)
+        words = set(re.findall("[a-z]+", re.sub(r"\S+@\S+", " ", text.lower())))
+        for x in {*entities, *words}:
+            held[x] = held.get(x, 0) + 1
+        for p in {(e, w) for e in entities for w in words}:
+            near[p] = near.get(p, 0) + 1
+    want = {w for (e, w), k in near.items() if k >= 3 and math.log(n * k / held[w] / held[e]) >= 0.9 * math.log(n / held[e])}
+    assert {"verrin", "tolm", "ombra"} <= want and "letter" not in want
+    assert Counter((i, tuple(f)) for i, f in got) == Counter((i, tuple(w for w in re.findall("[a-z]+", re.sub(r"\S+@\S+", " ", (t or "").lower())) if w in want)) for i, t in texts)
+
+
 def test_segments_are_maximal():
     r = random.Random(2)
     for _ in range(200):
