@@ -5,14 +5,15 @@ like size, two vectors within the whole budget 2 - 2 THRESHOLD are within the bl
 dimensions, in one block at least: so the union of the blocks' range joins holds every link. A block's range join cuts its
 first coordinate into cells as wide as the block's radius; a vector meets those of its own cell and of the next. Cells with
 more than TILE vectors are joined in tiles of two chunks, by several tasks. In a tile, pairs within the block's budget are
-verified by cosine in double precision; a pair counts in the first block that finds it and in no other, so that links are
+verified by cosine in double precision, on the vectors as given; a pair counts in the first block that finds it and in no other, so that links are
 counted where they are found, no pair leaves its task, and no distinct is needed. A task sends back the number of links of
 each of its vectors and a spanning forest of them, which the connected components are made of.
 
 Defined cases: null and empty vectors, zero ones and those with null or non-finite components link with nothing; vectors of
 another length than the first block of dimensions allows are compared with those of their own length only; equal vectors are
-one node that counts as often as it stands; a null vec_id becomes a node named by its vector's hash and stays null in the
-result; rows that share a vec_id count each; an empty table gives an empty result; other columns are ignored.
+one node, named by their hash, that counts as often as it stands; a null vec_id stays null in the result and never names a
+component, whose name is null if no row of it has a vec_id; rows that share a vec_id count each; an empty table gives an
+empty result; other columns are ignored. Links are judged on the given doubles, not on rotated ones.
 """
 
 from __future__ import annotations
@@ -49,6 +50,12 @@ def budgets(dimensions: int, threshold: float) -> list[float]:
     return [(2 - 2 * threshold) * (b - a) / dimensions + SLACK for a, b in blocks(dimensions)]
 
 
+def plain(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors as given but for a power of two, which no rounding comes with and no square overflows from, and their lengths."""
+    scaled = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+    return scaled, np.sqrt((scaled * scaled).sum(axis=1))
+
+
 def rotated(vectors: np.ndarray) -> np.ndarray:
     """Unit vectors, rotated."""
     largest = np.abs(vectors).max(axis=1, keepdims=True)
@@ -83,8 +90,8 @@ def _keys(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInArrow(kernel, "vec_id long, key string, data binary, cells array<long>")
 
 
-def _pairs(x: np.ndarray, y: np.ndarray | None, spans: list[tuple[int, int]], most: list[float], block: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Linked rows of x and y (of x alone if y is None) that this block is the first to find."""
+def _pairs(x: np.ndarray, y: np.ndarray | None, spans: list[tuple[int, int]], most: list[float], block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of x and y (of x alone if y is None) within the block's budget that no earlier block finds."""
     a, b = spans[block]
     other = x if y is None else y
     left, right = x[:, a:b].astype(np.float32), other[:, a:b].astype(np.float32)
@@ -104,9 +111,7 @@ def _pairs(x: np.ndarray, y: np.ndarray | None, spans: list[tuple[int, int]], mo
                 square = (x[s] - other[t]) ** 2
                 found = [square[:, u:v].sum(axis=1) <= m for (u, v), m in zip(spans[: block + 1], most, strict=False)]
                 first = found[block] & ~np.any(found[:block], axis=0) if block else found[0]
-                s, t = s[first], t[first]
-                linked = (x[s] * other[t]).sum(axis=1) >= threshold
-                yield s[linked], t[linked]
+                yield s[first], t[first]
 
 
 def _forest(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -147,12 +152,15 @@ def join(firsts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         length, block = group.column("length")[0].as_py(), group.column("block")[0].as_py()
         second = group.column("second").to_numpy()
         node, times = group.column("node").to_numpy(), group.column("times").to_numpy()
-        x = rotated(np.frombuffer(b"".join(group.column("data").to_pylist()), dtype="<f8").reshape(-1, length))
+        given = np.frombuffer(b"".join(group.column("data").to_pylist()), dtype="<f8").reshape(-1, length)
+        x, (scaled, norm) = rotated(given), plain(given)
         one = group.column("kind")[0].as_py() == 0 and group.column("i")[0].as_py() == group.column("j")[0].as_py()
         at_x, at_y = np.flatnonzero(~second), np.flatnonzero(second)
         links, p, q = np.zeros(len(x), dtype=np.int64), [], []
-        for s, t in _pairs(x[at_x], None if one else x[at_y], blocks(length), budgets(length, threshold), block, threshold):
+        for s, t in _pairs(x[at_x], None if one else x[at_y], blocks(length), budgets(length, threshold), block):
             s, t = at_x[s], (at_x if one else at_y)[t]
+            near = (scaled[s] * scaled[t]).sum(axis=1) / (norm[s] * norm[t]) >= threshold
+            s, t = s[near], t[near]
             links += np.bincount(s, weights=times[t], minlength=len(x)).astype(np.int64) + np.bincount(t, weights=times[s], minlength=len(x)).astype(np.int64)
             root = _forest(len(x), s, t)
             moved = np.flatnonzero(root != np.arange(len(x)))
@@ -187,16 +195,17 @@ def near_vectors(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row a row of table (vec_id, embedding)."""
     common.ship(table.sparkSession)
     rows = common.stored(_keys(table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector")), threshold), "vectors")
-    name = F.coalesce("vec_id", F.xxhash64("key"))
-    firsts = rows.filter("key is not null").groupBy("key").agg(F.min(name).alias("node"), F.count("*").alias("times"), F.first("data").alias("data"), F.first("cells").alias("cells"))
-    firsts = common.stored(firsts, "vector-firsts")
+    firsts = rows.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("times"), F.first("data").alias("data"), F.first("cells").alias("cells"))
+    firsts = common.stored(firsts.withColumn("node", F.xxhash64("key")), "vector-firsts")
     found = common.stored(join(firsts, threshold), "vector-links")
     of = common.stored(components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))), "vector-components")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    known = firsts.select("key", "node", "times").join(links, "node", "left").join(of, "node", "left")
-    known = known.select("key", "node", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    linked = rows.select("vec_id", "key").join(known, "key", "left")
-    return linked.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    known = firsts.select("key", "node", "least", "times").join(links, "node", "left").join(of, "node", "left")
+    known = common.stored(known.select("key", "least", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links")), "vector-known")
+    names = known.groupBy("component").agg(F.min("least").alias("component_id"))
+    linked = rows.select("vec_id", "key").join(known.join(names, "component").select("key", "n_links", "component_id"), "key", "left")
+    component = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    return linked.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def op3_subspace_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
