@@ -28,12 +28,13 @@ from pyspark.sql import functions as F
 from . import common
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: Captures have no time of their own here: a page's is this date and as many seconds as its page_id.
-EPOCH = 946684800
+#: Captures have no time of their own here: a page's is this date and as many seconds as its page_id, modulo TURN, so that every
+#: date has four digits for the year and dates sort as text.
+EPOCH, TURN = 946684800, 1_000_000_000
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Records in an archive, and index lines in a range of the merge.
-ARCHIVE_RECORDS, RANGE_LINES = 4096, 200_000
+#: Records in an archive, the bytes that they may have if all are as long as the longest, and index lines in a range of the merge.
+ARCHIVE_RECORDS, ARCHIVE_BYTES, RANGE_LINES = 4096, 1 << 28, 200_000
 LINE = "urlkey string, timestamp string, page_id long, run string, seq long, offset long, length long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -104,18 +105,25 @@ def write(pages: DataFrame, path: str) -> None:
     """Archives of pages (page_id, url, html) below path."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumns({"sha": F.sha1(F.col("html").cast("binary")), "bytes": F.octet_length("html")})
-    last = rows.groupBy(F.col("sha").alias("of"), F.col("bytes").alias("of_bytes")).agg(F.max("page_id").alias("first"))
-    both = rows.join(last, (F.col("sha") == F.col("of")) & (F.col("bytes") == F.col("of_bytes")))
-    is_first = F.coalesce(F.col("page_id") == F.col("first"), F.col("first").isNull())
+    keys = common.stored(rows.drop("html"), "warc-keys")  # payloads stay where they are until their one response is known
+    longest = keys.agg(F.max("bytes")).first()[0] or 0
+    last = keys.groupBy("sha", "bytes").agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
+    again = last.filter("n > 1").select(F.col("sha").alias("of"), F.col("bytes").alias("of_bytes"), "first")
+    revisits = keys.join(again, (F.col("sha") == F.col("of")) & (F.col("bytes") == F.col("of_bytes")) & ~F.col("page_id").eqNullSafe(F.col("first")))
+    revisits = revisits.select("page_id", "url", F.lit("").alias("html"), "sha", "bytes", "first", F.lit(False).alias("is_first"))
+    chosen = last.select(F.col("sha").alias("of"), F.col("bytes").alias("of_bytes"), "first")
+    responses = rows.join(chosen, (F.col("sha") == F.col("of")) & (F.col("bytes") == F.col("of_bytes")) & F.col("page_id").eqNullSafe(F.col("first")), "left_semi")
+    responses = responses.select("page_id", "url", "html", "sha", "bytes", F.lit(None).cast("long").alias("first"), F.lit(True).alias("is_first"))
+    both, is_first = responses.unionByName(revisits), F.col("is_first")
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
-    date = F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    date = F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(TURN))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     lines: list[Column] = [F.lit("WARC/1.1\r\nWARC-Type: "), F.when(is_first, "response").otherwise("revisit")]
     one_line = F.regexp_replace("url", r"[\r\n]+", " ")
     for key, value in (("WARC-Record-ID", name(F.col("page_id"))), ("WARC-Target-URI", one_line), ("WARC-Date", date), ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32_of(F.col("sha"))))):
         lines += [F.lit(f"\r\n{key}: "), value]
     lines += [F.when(is_first, F.lit("")).otherwise(F.concat(F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), name(F.col("first"))))]
     lines += [F.lit("\r\nContent-Length: "), F.when(is_first, F.col("bytes")).otherwise(0).cast("string"), F.lit(END), F.when(is_first, F.col("html")).otherwise("")]
-    both.select(F.concat(*lines).alias("record")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
+    both.select(F.concat(*lines).alias("record")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", max(1, min(ARCHIVE_RECORDS, ARCHIVE_BYTES // max(1, longest)))).text(path)
 
 
 def _plain(stored: bytes) -> Iterator[bytes]:
