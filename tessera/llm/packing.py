@@ -19,6 +19,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 from functools import cache
 from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -33,10 +34,10 @@ from . import common
 CAPACITY, SHARD = 2048, 50_000
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
-#: Words that a worker remembers the ids of.
-REMEMBERED = 1_000_000
+#: Bytes of words and of their ids that a worker remembers, and the longest word that it does.
+REMEMBERED, LONGEST = 16_000_000, 64
 #: Bytes of text that are tokenised at once.
-SLICE = 12_000_000
+SLICE = 1_000_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"
 #: Control characters that Python counts as white space and tokenizers don't.
 ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85")
@@ -63,6 +64,8 @@ class Words:
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.of: dict[str, bytes] = {}
+        #: How many words are remembered for good, and their bytes.
+        self.held = self.bytes = 0
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
@@ -97,10 +100,22 @@ class Words:
         for w, core, tail in parted:
             of[w] = of[core] + of[tail]
 
+    def _forget(self) -> None:
+        """Drops words that are too long to come again, and all words when they take too many bytes."""
+        new = list(islice(reversed(self.of.items()), max(0, len(self.of) - self.held)))
+        for w, raw in new:
+            if len(w) > LONGEST:
+                del self.of[w]
+            else:
+                self.bytes += len(w) + len(raw)
+        if self.bytes > REMEMBERED:
+            self.of.clear()
+            self.bytes = 0
+        self.held = len(self.of)
+
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and where each text starts in them."""
-        if len(self.of) > REMEMBERED:
-            self.of.clear()
+        self._forget()
         odd = np.zeros(len(texts), dtype=bool)
         for s in (*self.special, *ODD_SPACE):
             odd |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
@@ -135,7 +150,9 @@ class Words:
         place = coded.indices.to_numpy()
         counts = lengths[place]
         ends = np.concatenate([[0], np.cumsum(counts)])
-        return table[np.repeat(begins[place] - ends[:-1], counts) + np.arange(ends[-1])], ends[bounds]
+        at = np.repeat((begins[place] - ends[:-1]).astype(np.int32), counts)
+        at += np.arange(ends[-1], dtype=np.int32)
+        return table[at], ends[bounds]
 
 
 def _by_space(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -185,6 +202,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
                         out.append((doc, k // capacity, k, len(own), zlib.crc32(own.tobytes()), (part << 36) + seen))
                         seen += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), [pa.int64(), pa.int32(), *[pa.int64()] * 4], strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
+        common.trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")).mapInArrow(kernel, PIECE)
 
@@ -356,6 +374,7 @@ def packed(cut: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Data
         for k, members in enumerate(pack(lengths, capacity)):
             sequence[members] = ((2 * int(key[0]) + 1) << 32) + k
             offset[members] = np.cumsum(lengths[members]) - lengths[members]
+        common.trim()
         return rows.assign(sequence_id=sequence, offset=offset, doc_id=rows["doc_id"].astype("Int64")).drop(columns=["salt", "shard"])
 
     names = [c for c in cut.columns if c != "salt"]
