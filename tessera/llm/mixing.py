@@ -117,16 +117,22 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it, with all their columns."""
-    chosen = mix(docs, **options)
-    per = common.stored(chosen.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("h").alias("_h")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies")).filter(F.col("_copies")[0] > 0), "mix-copies")
+    """The documents themselves, each as often as the mix takes it, with all their columns, whatever these are called.
+
+    Of rows that share doc_id, source and text, those that sort first by their other columns are taken more often.
+    """
+    chosen = mix(docs.select("doc_id", "source", "text"), **options)
+    per = chosen.groupBy("doc_id", "source", "h").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("copies")).filter(F.col("copies")[0] > 0)
     names = docs.columns
-    rows = docs.withColumn("_key", F.xxhash64(common.text_of()))
-    both = rows.join(per, rows["doc_id"].eqNullSafe(per["_id"]) & (rows["_key"] == per["_h"]) & rows["source"].eqNullSafe(per["_source"]))
-    nth = F.row_number().over(Window.partitionBy("_id", "_h", "_source").orderBy(F.lit(0)))
-    times = F.when(F.size("_copies") == 1, F.col("_copies")[0]).otherwise(F.get("_copies", F.col("_nth") - 1))
-    both = both.withColumn("_nth", nth).withColumn("_times", times.cast("int")).filter("_times > 0")
-    return both.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"`{c}`") for c in names])
+    held = docs.select(F.col("doc_id").alias("a"), F.col("source").alias("b"), F.xxhash64(common.text_of()).alias("c"), F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)]).alias("row"))
+    per = common.stored(per.select("doc_id", "source", "h", "copies"), "mix-copies")
+    both = held.join(per, F.col("a").eqNullSafe(F.col("doc_id")) & (F.col("c") == F.col("h")) & F.col("b").eqNullSafe(F.col("source")))
+    # rows that are alone need no order; the others are numbered by all that they hold
+    alone = both.filter(F.size("copies") == 1).select("row", F.col("copies")[0].alias("times"))
+    nth = F.row_number().over(Window.partitionBy("a", "b", "c").orderBy(F.xxhash64(F.to_json("row")), F.to_json("row")))
+    several = both.filter(F.size("copies") > 1).withColumn("nth", nth).select("row", F.get("copies", F.col("nth") - 1).alias("times"))
+    taken = alone.unionByName(several).withColumn("times", F.col("times").cast("int")).filter("times > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time")).select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(names)])
 
 
 def op5_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

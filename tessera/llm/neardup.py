@@ -38,7 +38,7 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 4
 SAMPLES = BANDS * ROWS
 CLOSE = 0.6
-BITS, TILE, HELD, SLICE = 18, 4096, 4_000_000, 4_000_000
+BITS, TILE, HELD, SLICE = 18, 4096, 4_000_000, 1_000_000
 U = np.uint64
 M = U(0x9E3779B97F4A7C15)
 M_INVERSE = U(pow(int(M), -1, 1 << 64))
@@ -420,11 +420,20 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with all their columns, one document of each class; of rows that share a doc_id, one."""
-    gone = common.stored(classes(docs, threshold).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "near-gone")
-    text = common.text_of()
-    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), -1 - F.abs(F.xxhash64(text) % F.lit(1 << 62))))
-    return rows.join(gone, F.col("_id") == F.col("_gone"), "left_anti").dropDuplicates(["_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs with all their columns, whatever these are called, one document of each class: that of the least doc_id, nulls last.
+
+    Here a node is a distinct text, named by its hash, so rows that share a doc_id, or have none, are told apart by their texts.
+    """
+    names = docs.columns
+    key, order, node, first = common.free_names(["key", "order", "node", "first"], names)
+    others = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names) if c != "text"])))
+    rows = docs.withColumns({key: F.xxhash64(common.text_of()), order: F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), others.alias("others"))})
+    firsts = rows.groupBy(F.col(key).alias("node")).agg(F.min(order).alias("first"))
+    of = classes(rows.select(F.col(key).alias("doc_id"), "text"), threshold).select("doc_id", "class_id").distinct()
+    best = firsts.join(of.hint("merge"), F.col("node") == F.col("doc_id")).groupBy("class_id").agg(F.min(F.struct("first", "node")).alias("best"))
+    best = common.stored(best.select(F.col("best.node").alias(node), F.col("best.first").alias(first)), "near-kept")
+    kept = rows.join(best, (F.col(key) == F.col(node)) & F.col(order).eqNullSafe(F.col(first)), "left_semi")
+    return kept.dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in names])
 
 
 def op6_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,9 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -41,7 +43,7 @@ BINS = 128
 WORD = re.compile(r"[^\W\d_]+")
 REMEMBERED = 600_000
 MASK = (1 << BITS) - 1
-SCORED = "doc_id long, tokens long, evidence double, best double, passages array<struct<start:int,end:int,expected:double>>"
+SCORED = "doc_id long, text_key long, tokens long, evidence double, best double, passages array<struct<start:int,end:int,expected:double>>"
 
 
 class Model(NamedTuple):
@@ -79,6 +81,15 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, right - left) for a, b, left, right, _ in found]
 
 
+def spans_of_words(text: str, low: str) -> list[tuple[int, int]]:
+    """Where in text the words of its lower case form stand; a character may have a longer one."""
+    spans = [m.span() for m in WORD.finditer(low)]
+    if len(low) == len(text):
+        return spans
+    starts = list(accumulate((len(c.lower()) for c in text), initial=0))
+    return [(bisect_right(starts, a) - 1, bisect_left(starts, b)) for a, b in spans]
+
+
 def evidence(sums: list[float], tokens: int, model: Model) -> float:
     """-ln of the least P-value of the r best segments together, over all r (Karlin and Altschul)."""
     best = total = 0.0
@@ -115,6 +126,8 @@ def _counted(rows: DataFrame) -> DataFrame:
                         got = known[w] = forms(w)
                     own.update(got)
                 counts[int(toxic), list(own)] += 1
+        known.clear()
+        common.trim()
         at = np.flatnonzero(counts.any(axis=0))
         for k in range(0, len(at), 1 << 17):
             some = at[k : k + (1 << 17)]
@@ -172,7 +185,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
         for batch in batches:
             out = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc, key, text in zip(batch["doc_id"], batch["text_key"], batch["text"], strict=True):
                 low = text.lower()
                 words = WORD.findall(low)
                 try:
@@ -185,20 +198,21 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                             known[w] = value(w)
                     scores = [known[w] for w in words]
                 if not scores or max(scores) <= 0:
-                    out.append((doc, len(words), 0.0, 0.0, []))
+                    out.append((doc, key, len(words), 0.0, 0.0, []))
                     continue
                 segments = maximal_segments(np.array(scores))
                 expected = [math.exp(min(700.0, model.log_k + math.log(len(words)) - model.rate * s)) for _, _, s in segments]
                 passages = []
                 if min(expected) < SIGNIFICANT:
-                    places = [m.span() for m in WORD.finditer(low if len(low) == len(text) else text)]
-                    passages = [{"start": places[a][0], "end": places[b - 1][1], "expected": e} for (a, b, _), e in zip(segments, expected, strict=True) if e < SIGNIFICANT and b <= len(places)]
+                    places = spans_of_words(text, low)
+                    passages = [{"start": places[a][0], "end": places[b - 1][1], "expected": e} for (a, b, _), e in zip(segments, expected, strict=True) if e < SIGNIFICANT]
                 sums = [s for _, _, s in segments]
-                out.append((doc, len(words), evidence(sums, len(words), model), max(sums), passages))
-            made = pd.DataFrame(out, columns=["doc_id", "tokens", "evidence", "best", "passages"])
+                out.append((doc, key, len(words), evidence(sums, len(words), model), max(sums), passages))
+            made = pd.DataFrame(out, columns=["doc_id", "text_key", "tokens", "evidence", "best", "passages"])
             yield made.assign(doc_id=made["doc_id"].astype("Int64"))
+        common.trim()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")).mapInPandas(kernel, SCORED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(common.text_of()).alias("text_key"), common.text_of().alias("text")).mapInPandas(kernel, SCORED)
 
 
 def with_k(found: DataFrame, rows: DataFrame, model: Model) -> Model:
@@ -232,27 +246,33 @@ def _bin() -> Column:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """doc_id, held_out, score, predicted, evidence, passages of every document."""
+    """doc_id, held_out, score, predicted, evidence, passages, text_key (xxhash64) of every document."""
     common.ship(docs.sparkSession)
     rows = common.stored(labelled(labels, fit_rows), "toxic-rows")
     model = fit(docs, rows)
     if model is None:
         model = Model(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32), 1.0, 0.0)
-    train = docs.join(F.broadcast(rows.select(F.col("doc_id").alias("_train"))), F.col("doc_id") == F.col("_train"), "left_semi")
+    docs = docs.select("doc_id", "text")
+    train = docs.join(F.broadcast(rows.select(F.col("doc_id").alias("train"))), F.col("doc_id").cast("long") == F.col("train"), "left_semi")
     model = with_k(scored(train, model), rows, model)
     found = common.stored(scored(docs, model), "toxic-scored")
     shares = calibrated(found, rows)
     share = F.array(*map(F.lit, [*shares, shares[-1]]))
     low, high = F.element_at(share, _bin() + 1), F.element_at(share, _bin() + 2)
     score = low + (high - low) * F.least(F.lit(1.0), F.col("evidence") * 2 - _bin())
-    return found.select("doc_id", (split(F.col("doc_id")) == 1).alias("held_out"), score.alias("score"), (score >= THRESHOLD).cast("int").alias("predicted"), "evidence", "passages")
+    return found.select("doc_id", (split(F.col("doc_id")) == 1).alias("held_out"), score.alias("score"), (score >= THRESHOLD).cast("int").alias("predicted"), "evidence", "passages", "text_key")
 
 
 def clean(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """docs with all their columns, without those that are predicted toxic."""
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("long"))
-    bad = common.stored(toxicity(docs, labels, **options).filter("predicted = 1").select(F.col("doc_id").alias("_id")).distinct(), "toxic-ids")
-    return keyed.join(bad, "_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs with all their columns, whatever these are called, without those that are predicted toxic.
+
+    The decision is kept by doc_id and text, so rows that share a doc_id, or have none, are each judged by their own text.
+    """
+    one, two, bad_one, bad_two = common.free_names(["id", "key", "bad_id", "bad_key"], docs.columns)
+    found = toxicity(docs, labels, **options).filter("predicted = 1").select(F.col("doc_id").alias(bad_one), F.col("text_key").alias(bad_two)).distinct()
+    bad = common.stored(found, "toxic-ids")
+    keyed = docs.withColumns({one: F.col("doc_id").cast("long"), two: F.xxhash64(common.text_of())})
+    return keyed.join(bad, F.col(one).eqNullSafe(F.col(bad_one)) & (F.col(two) == F.col(bad_two)), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_segment_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

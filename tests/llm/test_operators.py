@@ -286,3 +286,92 @@ def test_near_duplicates_of_different_groups_against_all_pairs():
         marks = r.integers(0, 3, (k, neardup.SAMPLES)).astype(np.uint8) // 2
         near = [any(group[i] != group[j] and (marks[i] == marks[j]).sum() >= neardup.NEED for j in range(k)) for i in range(k)]
         assert neardup.open_rows(marks, group).tolist() == near
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, _id long, _key string, _doc long, id long, key string, node long, row string"
+
+
+def test_every_pipeline_stage_and_the_whole(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(11)
+    words = ["".join(r.choices("abcdefghij", k=r.randint(2, 7))) for _ in range(900)]
+    text = lambda n: " ".join(r.choices(words, k=n))
+    made = [(k, f"{text(40)} {'vilewort grubling vilewort grubling' if k % 5 == 0 else ''}") for k in range(400)]
+    long = text(4000)
+    made += [(1000, made[3][1]), (1001, made[3][1]), (1002, f"{made[4][1]} {made[4][1]}"), (1003, long), (1004, long + " zzz"), (1005, None), (1006, ""), (1007, f"{text(20)} mail me@some.org"), (None, text(30)), (None, text(25)), (7, text(35))]
+    rows = [(i, t, "en", f"s{k % 3}" if k % 7 else None, 0 if t is None else len(t), 7, "k", 8, 9, "k", k, "r") for k, (i, t) in enumerate(made)]
+    rows.append(rows[8])
+    folder = str(tmp_path)
+    spark.createDataFrame(rows, ODD).repartition(4).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(400)], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+
+    safe = corpus_pipeline.drop_toxic(spark, docs, folder)
+    assert safe.schema == docs.schema
+    kept = {(x.doc_id, x.text) for x in safe.collect()}
+    assert not any(t and "vilewort" in t for _, t in kept) and sum(i is not None and i < 400 for i, _ in kept) >= 310 and sum(i is None for i, _ in kept) == 2
+    one = corpus_pipeline.drop_near_duplicates(spark, safe, folder)
+    assert one.schema == docs.schema
+    got = [x.asDict() for x in one.collect()]
+    assert len({x["text"] or "" for x in got}) == len(got) and {x["_id"] for x in got} == {7} and {x["_key"] for x in got} == {"k"}
+    ids = [x["doc_id"] for x in got]
+    assert ids.count(None) == 2 and ids.count(7) == 2 and 3 in ids and 1003 in ids and not {1000, 1001, 1004} & set(ids)
+    mixed = mixing.mixed(one)
+    assert mixed.schema == docs.schema and {x["_key"] for x in mixed.collect()} == {"k"}
+    taken = sum(x.copies for x in mixing.mix(one).collect())
+    assert mixed.count() == taken
+
+    whole = corpus_pipeline.run(spark, folder).collect()
+    fill = Counter()
+    for x in sorted(whole, key=lambda x: (x.sequence_id, x.offset)):
+        assert x.offset == fill[x.sequence_id]
+        fill[x.sequence_id] += x.length
+    assert max(fill.values()) <= 2048 and {x.piece for x in whole if x.doc_id == 1003} > {0, 1}
+    spark.createDataFrame([], ODD).write.parquet(f"{folder}/none/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{folder}/none/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{folder}/none").count() == 0
+
+
+def test_rows_that_differ_in_other_columns_alone_are_mixed_alike(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x", k % 3) for k in range(9)] + [(2, "d e", "y", 0), (None, "f", None, 1)], "doc_id long, text string, source string, extra int")
+    want = sorted(map(repr, mixing.mixed(docs).collect()))
+    assert all(sorted(map(repr, mixing.mixed(docs.repartition(n)).collect())) == want for n in (1, 3, 7))
+
+
+def test_words_map_to_places_of_the_text():
+    text = "İİ vile İx grub"
+    found = {text[a:b] for a, b in toxicity.spans_of_words(text, text.lower())}
+    assert {"vile", "grub"} <= found
+
+
+def test_links_at_the_threshold_are_judged_on_given_doubles(spark):
+    r = np.random.default_rng(4)
+    x = np.zeros(64)
+    x[0] = 1.0
+    y = np.zeros(64)
+    y[0], y[1] = 0.9, math.sqrt(1 - 0.81)
+    base, made = len(x), []
+    for k in range(40):
+        p = r.permutation(base)
+        made += [(2 * k, x[p].tolist()), (2 * k + 1, y[p].tolist())]
+    made += [(None, x.tolist()), (500, [1.0] * 3), (500, [1.0, -1.0, 1.0]), (501, [2.0] * 3)]
+    got = vectors.near_vectors(spark.createDataFrame(made, "vec_id long, embedding array<double>")).collect()
+
+    def cosine(a, b):
+        (a, b), (m, n) = (np.array(a), np.array(b)), (np.sqrt((np.array(v) ** 2).sum()) for v in (a, b))
+        return (a * b).sum() / (m * n)
+
+    want = Counter((i, sum(len(v) == len(w) and cosine(v, w) >= 0.9 for q, (_, w) in enumerate(made) if q != p)) for p, (i, v) in enumerate(made))
+    assert Counter((g.vec_id, g.n_links) for g in got) == want
+    assert all(g.component_id is not None for g in got if g.vec_id is not None) and min(g.component_id for g in got) >= 0
+
+
+def test_archives_of_pages_with_any_number(spark, tmp_path):
+    ids = [0, 2**62, -5, 300_000_000_000, None, 9, 9]
+    pages = spark.createDataFrame([(i, f"http://a.b/{k % 2}", "same" if k % 2 else f"own {k}") for k, i in enumerate(ids)], "page_id long, url string, html string")
+    warc.write(pages, str(tmp_path / "w"))
+    got = warc.resolved(warc.histories(warc.runs(spark, str(tmp_path / "w")))).collect()
+    assert Counter(g.page_id for g in got) == Counter(ids) and all(len(g.timestamp) == 14 for g in got)
+    same = [g for g in got if g.payload_bytes == 4]
+    assert {(g.page_id, g.record_type, g.refers_to) for g in same} == {(2**62, "response", None), (300_000_000_000, "revisit", 2**62), (9, "revisit", 2**62)}
