@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import similarity, spans, style
 from tessera.plans import calibration, ledgers, pages, ranking, rhythm  # noqa: F401  they register queries
-from tessera.plans.register import COMPACT, FRAGMENTS, QUERIES, SENTENCES, SQL, WORDS, Query, query
+from tessera.plans.register import COMPACT, LINES, QUERIES, SEEN, SENTENCES, SQL, WORDS, Query, fragments_sql, query
 
 FLAGSHIP = "q_contam_verbatim"
 
 
-@query("q_valid_chars", f"select doc_id, length({COMPACT}) valid_chars, sha256({COMPACT}) compact_hash from documents", "documents")
+@query("q_valid_chars", f"select doc_id, {SEEN} valid_chars, sha256({COMPACT}) compact_hash from documents", "documents")
 def _valid(docs):
     return docs.select("doc_id", T.valid_chars(F.col("text")).alias("valid_chars"), F.sha2(T.compact(F.col("text")), 256).alias("compact_hash"))
 
@@ -28,15 +28,15 @@ def _sentences(docs):
     return docs.select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("n_sentences"))
 
 
-@query("q_dup_lines", r"select line, count(*) n, count(distinct doc_id) n_docs from (select doc_id, unnest(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '')) line from documents) group by 1 having count(*) > 1", "documents")
+@query("q_dup_lines", f"select line, count(*) n, count(distinct doc_id) n_docs from (select doc_id, unnest({LINES}) line from documents) group by 1 having count(*) > 1", "documents")
 def _dup_lines(docs):
     rows = docs.select("doc_id", F.explode(T.lines(F.col("text"))).alias("line"))
     return rows.groupBy("line").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs")).filter("n > 1")
 
 
-@query("q_contam_verbatim", f"""with known as (select distinct fragment from ({FRAGMENTS.format('item_id', 'benchmark')})),
-copied as (select doc_id, sum(size) copied from ({FRAGMENTS.format('doc_id', 'documents')}) where fragment in (select fragment from known) group by 1)
-select doc_id, length({COMPACT}) valid_chars, coalesce(copied, 0)::bigint copied_chars, round(100.0::double * coalesce(copied, 0) / nullif(length({COMPACT}), 0), 6) rate from documents left join copied using (doc_id)""", "documents", "benchmark")
+@query("q_contam_verbatim", f"""with known as (select distinct fragment from ({fragments_sql('item_id', 'benchmark')})),
+copied as (select doc_id, sum(size) copied from ({fragments_sql('doc_id', 'documents')}) where fragment in (select fragment from known) group by 1)
+select doc_id, {SEEN} valid_chars, coalesce(copied, 0)::bigint copied_chars, round(100.0::double * coalesce(copied, 0) / nullif({SEEN}, 0), 6) rate from documents left join copied using (doc_id)""", "documents", "benchmark")
 def _contaminated(docs, benchmark):
     return similarity.verbatim_share(docs, benchmark)
 
@@ -71,7 +71,7 @@ def _vocabulary(docs):
 
 
 @query("q_sentence_rhythm", f"""select doc_id, count(*) sentences, round(avg(n), 6) mean_length, round(stddev_pop(n) / avg(n), 6) length_cv from
-(select doc_id, length({COMPACT}) n from (select doc_id, unnest({SENTENCES}) as text from documents)) where n > 0 group by 1""", "documents")
+(select doc_id, {SEEN} n from (select doc_id, unnest({SENTENCES}) as text from documents)) where n > 0 group by 1""", "documents")
 def _rhythm(docs):
     return style.sentence_rhythm(docs)
 

@@ -29,9 +29,35 @@ def test_query_equals_its_sql(spark, duck, name):
     assert sorted(repr(tuple(r[c] for c in columns)) for r in got.collect()) == sorted(repr(tuple(r[k] for k in at)) for r in want.fetchall())
 
 
-def test_sentences_keep_digits(spark):
-    row = spark.createDataFrame([("One 0. 1 two! …?\n 22 ",)], "text string").select(T.sentences(F.col("text")).alias("s")).first()
-    assert row.s == ["One 0", "1 two", "22"]
+def of(spark, expression, *texts):
+    return [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string").orderBy("k").select(expression(F.col("text"))).collect()]
+
+
+def test_sentences(spark):
+    cases = {
+        "One 0. 1 two! …?\n 22 ": ["One 0.", "1 two!", "…?", "22"],
+        "pi is 3.14 now. and e.g. this": ["pi is 3.14 now.", "and e.g.", "this"],
+        "A.B is x.y": ["A.", "B is x.y"],
+        "他说：“好。”然后走了。第二句！？结束": ["他说：“好。”", "然后走了。", "第二句！？", "结束"],
+        "wait... what": ["wait... what"],
+        "": [],
+    }
+    assert of(spark, T.sentences, *cases) == list(cases.values())
+
+
+def test_folding_keeps_places_and_scripts(spark):
+    texts = ["ＡＢＣ１，。「體國」 İSTANBUL ΣΑΣ—“x”", "\u200bzero\u00a0width\ue000", "Привет ΑΒΓ 學習"]
+    got = of(spark, T.folded, *texts)
+    assert [len(x) for x in got] == [len(x) for x in texts] and got[0] == "abc1,.[体国] istanbul σασ-\"x\"" and got[2] == "привет αβγ 学习"
+    assert of(spark, T.compact, *texts)[1] == "zerowidth" and of(spark, T.valid_chars, *texts)[2] == 11
+    assert of(spark, T.sentence_key, "(1) 2. Some text here", "iv) first. x", "3.14 is pi", "- [2] dash") == ["sometexthere", "first.x", "3.14ispi", "dash"]
+    assert of(spark, T.han_count, "學習 abc")[0] == 2
+
+
+def test_texts_of_other_scripts_are_not_copies(spark):
+    docs = spark.createDataFrame(enumerate(["学习机器", "语言模型", "Привет", "Γεια", "", "Hello", "ＨＥＬＬＯ"]), "doc_id long, text string")
+    keys = [r[0] for r in docs.select(F.sha2(T.compact(F.col("text")), 256)).collect()]
+    assert len(set(keys)) == 6
 
 
 def test_merge_joins_touching_and_drops_inverted(spark):
