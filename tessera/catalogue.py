@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import similarity, spans, style
-from tessera.plans import calibration, ledgers, pages, ranking, rhythm  # noqa: F401  they register queries
-from tessera.plans.register import COMPACT, LINES, QUERIES, SEEN, SENTENCES, SQL, WORDS, Query, fragments_sql, query
+from tessera.plans import calibration, ledgers, matching, pages, ranking, rhythm  # noqa: F401  they register queries
+from tessera.plans.register import BLANKS, COMPACT, LINES, QUERIES, SEEN, SENTENCES, SQL, WORDS, Query, fragments_sql, query
 
 FLAGSHIP = "q_contam_verbatim"
 
@@ -52,13 +52,13 @@ def _containment(docs, benchmark):
     return similarity.containment(docs, benchmark)
 
 
-@query("q_char_entropy", f"""select doc_id, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) char_entropy from
-(select doc_id, c, count(*) n from (select doc_id, unnest(string_split({COMPACT}, '')) c from documents) where c <> '' group by 1, 2) group by 1""", "documents")
+@query("q_char_entropy", f"""select doc_id, round(ln(sum(n)) - sum(n * ln(n)) / sum(n), 6) + 0.0::double char_entropy from
+(select doc_id, c, count(*) n from (select doc_id, unnest(string_split(regexp_replace(text, '{BLANKS}', '', 'g'), '')) c from documents) where c <> '' group by 1, 2) group by 1""", "documents")
 def _char_entropy(docs):
     return style.char_entropy(docs)
 
 
-@query("q_bigram_entropy", f"""select doc_id, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) bigram_entropy from
+@query("q_bigram_entropy", f"""select doc_id, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) + 0.0::double bigram_entropy from
 (select doc_id, g, count(*) n from (select doc_id, array_to_string(w[i:i+1], ' ') g from (select doc_id, w, unnest(range(1, len(w))) i from (select doc_id, {WORDS} w from documents))) group by 1, 2) group by 1""", "documents")
 def _bigram_entropy(docs):
     return style.bigram_entropy(docs)

@@ -125,7 +125,8 @@ def dice(a: Column, b: Column) -> Column:
 
 def signature(of: Column, slots: int = 16) -> Column:
     """Least hash of an array's values under each of so many salts; null for an empty one."""
-    each = [F.array_min(F.transform(of, lambda g, s=s: F.xxhash64(g, F.lit(s)))) for s in range(slots)]
+    salted = lambda s: F.array_min(F.transform(of, lambda g: F.xxhash64(g, F.lit(s))))
+    each = [salted(s) for s in range(slots)]
     return F.when(F.size(of) > 0, F.array(*each))
 
 

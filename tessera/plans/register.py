@@ -49,6 +49,7 @@ _MARKED = f"regexp_replace(regexp_replace(text, '{_STOP}', '\\1\\2\ufdd1\\3', 'g
 _CUT = f"regexp_replace({_MARKED}, '(?:[。！？；!?;…]|[.．]\ufdd1)[。！？；…!?;.\"''”’』」)）\\]］】*>\ufdd1]*', '\\0\ufdd0', 'g')"
 SENTENCES = f"list_filter(list_transform(regexp_split_to_array(replace({_CUT}, '\ufdd1', ''), '[\ufdd0\\n\\r\\x{{B}}\\x{{C}}\\x{{2028}}\\x{{2029}}]'), lambda x: regexp_replace(x, '^[{_JUNK}]+|[{_JUNK}]+$', '', 'g')), lambda x: x <> '')"
 WORDS = f"regexp_extract_all({FOLD}, '[\\p{{L}}\\p{{M}}\\p{{N}}]+')"
+BLANKS = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _SPACE = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 LINES = f"list_filter(list_transform(regexp_split_to_array(text, '[\\n\\r\\x{{B}}\\x{{C}}\\x{{2028}}\\x{{2029}}]'), lambda x: regexp_replace(x, '^{_SPACE}|{_SPACE}$', '', 'g')), lambda x: x <> '')"
 _ROUND = r"^ *(?:[-*>#]|[(\[][0-9]{1,4}[)\]]|[0-9]{1,4}(?:[、:]|[.,)]([^0-9]|\z))|[i-z][a-z0-9]{0,2}(?:\)|\.( |\z)))"
@@ -58,6 +59,9 @@ FRAGMENTS = f"""select KEY_, fragment, length(fragment) size from (select KEY_,
 ORDERED = f"select doc_id, unnest(l) as text, unnest(range(1, len(l) + 1)) i from (select doc_id, {SENTENCES} l from documents)"
 
 
-def fragments_sql(key: str, table: str) -> str:
-    """The fragments of a table's texts."""
-    return FRAGMENTS.replace("KEY_", key).replace("TABLE_", table)
+def fragments_sql(key: str, table: str, places: bool = False) -> str:
+    """The fragments of a table's texts, with the sentence they are from, place, if asked for."""
+    sql = FRAGMENTS.replace("TABLE_", table)
+    if places:
+        sql = sql.replace(f"unnest({SENTENCES}) as text", f"unnest({SENTENCES}) as text, unnest(range(len({SENTENCES}))) as place").replace("KEY_", "KEY_, place", 3)
+    return sql.replace("KEY_", key)
