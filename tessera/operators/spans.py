@@ -60,9 +60,10 @@ def ledger(spans: DataFrame, key: str) -> DataFrame:
 
 
 def attributed(spans: DataFrame, key: str, claimant: str) -> DataFrame:
-    """key, claimant, places: each place goes to the first span that covers it, in order of start, end and claimant."""
-    real = spans.filter("end > start")
-    cut = pieces(real.withColumn("kind", F.lit("any")), key, ["any"]).filter("any > 0").select(F.col(key).alias("_key"), F.col("start").alias("low"), F.col("end").alias("high"))
-    met = cut.join(real, (F.col("_key") == F.col(key)) & (F.col("start") <= F.col("low")) & (F.col("end") >= F.col("high")))
-    first = met.groupBy("_key", "low", "high").agg(F.min(F.struct("start", "end", claimant)).alias("first"))
-    return first.groupBy(F.col("_key").alias(key), F.col(f"first.{claimant}").alias(claimant)).agg(F.sum(F.col("high") - F.col("low")).cast("long").alias("places"))
+    """key, claimant, places: each place goes to the first span that covers it, in order of start, end and claimant.
+
+    What earlier spans cover of a later one is a stretch from its start on, so one running maximum tells what is left of it."""
+    order = Window.partitionBy(key).orderBy("start", "end", claimant).rowsBetween(Window.unboundedPreceding, -1)
+    rows = spans.filter("end > start").withColumn("taken", F.coalesce(F.max("end").over(order), F.col("start")))
+    left = rows.withColumn("left", F.col("end") - F.greatest("start", "taken")).filter(F.col("left") > 0)
+    return left.groupBy(key, claimant).agg(F.sum("left").cast("long").alias("places"))

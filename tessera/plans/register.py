@@ -8,18 +8,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.functions import text as T
+from tessera.operators.sizes import spread
 
+#: Tables of long texts.
+LONG = ("documents", "pages")
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
 def query(name: str, sql: str, *tables: str) -> Callable:
-    """Registers a function of the named tables."""
+    """Registers a function of the named tables. Without SQL, tests hold it against another form."""
 
     def register(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-        QUERIES[name] = lambda spark, sf_dir: f(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables))
-        SQL[name] = sql
+        QUERIES[name] = lambda spark, sf_dir: f(*(spread(df) if t in LONG else df for t in tables for df in [spark.read.parquet(f"{sf_dir}/{t}.parquet")]))
+        if sql:
+            SQL[name] = sql
         return f
 
     return register
