@@ -107,7 +107,7 @@ class Store:
             to = plan.select(F.col("run").alias("_from" + self.run), F.col("group").alias("_to" + self.run))
             rows = self._data().join(to, F.col(self.run) == F.col("_from" + self.run))
             rows = rows.withColumn(self.run, F.concat(F.lit(prefix), "_to" + self.run)).drop("_from" + self.run, "_to" + self.run)
-            self._write(rows.repartition(groups, self.run))
+            self._write(rows.repartitionByRange(groups, self.run))  # a range each: hashed, several groups could meet in a task
             kept = self.manifest(version).join(plan, "run", "left_anti")
             self._commit(kept.unionByName(self._measured(prefix, "compaction")), version + 1)
 
