@@ -193,4 +193,4 @@ def cleaned(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPOR
 def op7_information_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spans(common.table(spark, sf_dir, "documents"))
     number = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return rows.select("doc_id", *map(number, KINDS), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.concat("base", "terms")).alias("spans"))
+    return rows.select("doc_id", *map(number, KINDS), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.concat("base", "terms")).alias("spans"), F.size("base").cast("long").alias("n_base"), F.size("terms").cast("long").alias("n_terms"), (F.size("base") + F.size("terms")).cast("long").alias("n_spans"))
