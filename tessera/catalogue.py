@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import similarity, spans, style
-from tessera.plans import calibration, ledgers, matching, measures, pages, ranking, rhythm  # noqa: F401  they register queries
+from tessera.plans import calibration, ledgers, matching, measures, pages, ranking, rhythm, strings  # noqa: F401  they register queries
 from tessera.plans.register import BLANKS, COMPACT, LINES, QUERIES, SEEN, SENTENCES, SQL, WORDS, Query, fragments_sql, query
 
 FLAGSHIP = "q_contam_verbatim"

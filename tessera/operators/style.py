@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 
+from .sizes import held
+
 COUNTED = "doc_id long, total long, kinds long, once long, nats double"
 
 
@@ -70,7 +72,7 @@ def sentence_rhythm(docs: DataFrame) -> DataFrame:
     """doc_id, sentences, mean_length, length_cv: of sentence lengths in counted characters."""
     n, mean = F.col("n"), F.col("mean")
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    rows = docs.select("doc_id", F.filter(F.transform(T.sentences(F.col("text")), T.valid_chars), lambda x: x > 0).alias("n")).filter("size(n) > 0")
+    rows = held(docs, F.filter(F.transform(T.sentences(F.col("text")), T.valid_chars), lambda x: x > 0), "n", "doc_id").filter("size(n) > 0")
     rows = rows.select("doc_id", "n", (total(n) / F.size(n)).alias("mean"))
     spread = F.sqrt(total(F.transform(n, lambda x: (x - mean) * (x - mean))) / F.size(n))
     return rows.select("doc_id", F.size(n).cast("long").alias("sentences"), F.round(mean, 6).alias("mean_length"), F.round(spread / mean, 6).alias("length_cv"))
