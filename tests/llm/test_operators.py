@@ -375,3 +375,34 @@ def test_archives_of_pages_with_any_number(spark, tmp_path):
     assert Counter(g.page_id for g in got) == Counter(ids) and all(len(g.timestamp) == 14 for g in got)
     same = [g for g in got if g.payload_bytes == 4]
     assert {(g.page_id, g.record_type, g.refers_to) for g in same} == {(2**62, "response", None), (300_000_000_000, "revisit", 2**62), (9, "revisit", 2**62)}
+
+
+def test_pieces_hold_the_ids_of_the_tokenizer(spark, monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    r = random.Random(12)
+    words = ["".join(r.choices("abcdefghijkéß", k=r.randint(1, 9))) for _ in range(300)]
+    texts = [" ".join(r.choices(words, k=n)) for n in (0, 1, 5, 50, 3000)] + ["x" * 5000, "Word, word; 12.5% (it's) 学 <x>", None, " \n ", "a" * 70 + " " + "a" * 70]
+    monkeypatch.setattr(packing, "SLICE", 700)
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = set()
+    for k, t in enumerate(texts):
+        ids = np.array([*whole.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4")
+        want |= {(k, p, at, len(own), zlib.crc32(own.tobytes())) for p, at in enumerate(range(0, len(ids), 2048)) for own in [ids[at : at + 2048]]}
+    rows = packing.packed(packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2))).collect()
+    assert {(x.doc_id, x.piece, x.start, x.length, x.ids_crc32) for x in rows} == want and max(x.piece for x in rows) > 0
+
+
+def test_words_are_forgotten_by_bytes(monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "REMEMBERED", 200)
+    words = packing.Words(public_tokenizers.path("word_bpe_49k.json"))
+    for k in range(20):
+        own = [f"{'abcdefghij'[k % 10] * n} longer{'z' * 80}" for n in range(1, 6)]
+        flat, starts = words.ids(pa.array(own))
+        assert [flat[a:b].tolist() for a, b in zip(starts, starts[1:], strict=False)] == [words.whole(t).tolist() for t in own]
+        words._forget()
+        assert words.bytes <= 200 and not any(len(w) > packing.LONGEST for w in words.of)
