@@ -37,3 +37,29 @@ def title_key(html: Column) -> Column:
     """The letters and digits of a page's title, in lower case; null below six."""
     key = F.regexp_replace(F.lower(F.regexp_extract(html, TITLE, 1)), "[^a-z0-9à-öø-ÿ]", "")
     return F.when(F.length(key) >= 6, key)
+
+
+#: Signs of pages that hold no text of a paper: our own lists.
+WALLS = (("login", "sign in|log in|login required|please log|请登录"), ("paywall", "purchase|subscribe to read|buy this article|购买|付费"), ("captcha", "captcha|verify you are human|are you a robot|验证码"), ("blocked", "access denied|forbidden|too many requests|访问受限"), ("missing", "not found|no longer available|page does not exist|页面不存在"))
+
+
+def wall(html: Column, least: int = 400) -> Column:
+    """What stands before a page's text, login, paywall, captcha, blocked or missing; thin for a page of fewer characters, else null."""
+    text = readable(html)
+    low = F.lower(text)
+    short = F.length(text) < least
+    found = F.lit(None).cast("string")
+    for name, pattern in reversed(WALLS):
+        found = F.when(low.rlike(pattern), name).otherwise(found)
+    return F.when(short, F.coalesce(found, F.lit("thin")))
+
+
+def frame(body: Column) -> Column:
+    """The shape of a framed answer, from its first byte: message, trailer, markup, json or unknown."""
+    first = F.substring(body, 1, 1)
+    return F.when(F.length(body) < 5, "unknown").when(first == F.lit(b"\x00"), "message").when(first == F.lit(b"\x80"), "trailer").when(first == F.lit(b"<"), "markup").when(first.isin(F.lit(b"{"), F.lit(b"[")), "json").otherwise("unknown")
+
+
+def section(text: Column, title: str) -> Column:
+    """What stands behind a heading line of a readable page, up to the next short line that ends with a colon; empty for none."""
+    return F.coalesce(F.regexp_extract(text, rf"(?im)^\s*{title}\s*:?\s*$\n([\s\S]*?)(?=^\S.{{0,40}}:\s*$|\z)", 1), F.lit(""))
