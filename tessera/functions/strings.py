@@ -71,10 +71,18 @@ def changed(before: Column, after: Column) -> Column:
     return F.struct(head.alias("start"), (F.length(a) - tail).alias("end_before"), (F.length(b) - tail).alias("end_after"))
 
 
+#: A text with places from here on is not put together.
+MOST_PLACES = 20_000
+
+
 def from_inverted(index: Column) -> Column:
-    """A text from its inverted index, map<word, array<place>>."""
-    pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    return F.array_join(F.transform(F.array_sort(pairs), lambda x: x["w"]), " ")
+    """A text from its inverted index, map<word, array<place>>: of words at one place the first in the map, places below 0 passed over.
+    Empty for no map, no place, or a place of 20,000 or more."""
+    entries = F.coalesce(F.map_entries(index), F.array().cast("array<struct<key:string,value:array<int>>>"))
+    pairs = F.flatten(F.transform(entries, lambda e, i: F.transform(F.filter(F.coalesce(e["value"], F.array().cast("array<int>")), lambda p: p >= 0), lambda p: F.struct(p.cast("int").alias("p"), i.alias("i"), e["key"].alias("w")))))
+    placed = F.array_sort(pairs)
+    first = F.filter(placed, lambda x, i: (i == 0) | (F.get(placed, i - 1)["p"] != x["p"]))
+    return F.when(F.coalesce(F.array_max(placed)["p"], F.lit(0)) >= MOST_PLACES, "").otherwise(F.array_join(F.transform(first, lambda x: x["w"]), " "))
 
 
 def filled(template: str, values: Mapping[str, Column]) -> Column:
