@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tessera.sources import web
+from tessera.sources import answers, web
 
 from .register import query
 
@@ -48,3 +48,11 @@ def _urls(pages):
 @query("q_event_status", "select user_id, count(*) n, count(*) filter (event_type = 'error') errors, count(distinct event_type) kinds from events group by 1", "events")
 def _status(events):
     return events.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"), F.countDistinct("event_type").alias("kinds"))
+
+
+@query("q_answer_candidates", "select doc_id, 12 declared, sha256(trim(left(text, 80))) title_hash, 'W' || doc_id locator, case when 1400 + doc_id % 1000 between 1500 and 2200 then cast(1400 + doc_id % 1000 as varchar) else '' end paper_year from documents where trim(left(text, 80)) <> ''", "documents")
+def _candidates(documents):
+    entry = F.struct(F.concat(F.lit("W"), F.col("doc_id")).alias("id"), F.substring("text", 1, 80).alias("title"), (F.lit(1400) + F.col("doc_id") % 1000).alias("publication_year"))
+    body = F.to_json(F.struct(F.struct(F.lit(12).alias("count")).alias("meta"), F.array(entry, entry).alias("results")))
+    found = answers.candidates(documents.select("doc_id", body.alias("body"), answers.declared(body, "openalex").alias("declared")), "body", "openalex", 5)
+    return found.select("doc_id", "declared", F.sha2("title", 256).alias("title_hash"), "locator", F.col("year").alias("paper_year"))
