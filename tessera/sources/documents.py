@@ -1,4 +1,4 @@
-"""Text, Markdown and DOCX files as documents, with bounds on what is unpacked."""
+"""Text, Markdown, DOCX and PDF files as documents, with bounds on what is unpacked."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.shipping import ship
 
+from . import pdf
 from .decoding import decode
 
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -61,6 +62,13 @@ def text_of(path: str, content: bytes) -> tuple[str, str, str | None, str | None
             return "docx", "utf-8", docx_text(content), None
         except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError) as e:
             return "docx", "", None, f"{type(e).__name__}: {e}"
+    if b"%PDF-" in content[:1024]:
+        try:
+            found = pdf.extracted(content)
+        except (ValueError, TypeError, LookupError, OverflowError) as e:
+            return "pdf", "", None, f"{type(e).__name__}: {e}"
+        lost = f"{found.undecodable} glyphs without a character" if found.undecodable else None
+        return "pdf", "", found.text, lost if found.text_ops else "no text layer"
     if b"\x00" in content[:1024] and decode(content)[1] == "utf-8-loose":
         return "binary", "", None, "no text"
     text, encoding = decode(content)
