@@ -218,53 +218,55 @@ def matched(found: DataFrame) -> DataFrame:
 
 
 class RunLengthIndex:
-    """The runs of the Burrows-Wheeler transform of strings, and for each run's two ends their place and their match beyond it."""
-
-    def __init__(self, data: np.ndarray):
-        n = len(data)
-        padded = np.concatenate([data, np.full(8, 255, dtype=np.uint8)])
-        key = np.zeros(n, dtype=U)
-        for k in range(8):
-            key = key << U(8) | padded[k : k + n].astype(U)
-        order = np.argsort(key, kind="stable")
-        ranks, width, step = [], 8, key
+    """The runs of the Burrows-Wheeler transform of strings, and for each run's two ends their place and their match beyond it.
+
+    Each string ends in a sign of its own that is no byte, so no match leaves its string and the order of suffixes is whole."""
+
+    def __init__(self, strings: list[bytes]):
+        self.ends = np.cumsum([len(s) + 1 for s in strings])
+        n = int(self.ends[-1])
+        signs = np.frombuffer(b"".join(s + b"\0" for s in strings), dtype=np.uint8).astype(np.int64)
+        signs[self.ends - 1] = 256 + np.arange(len(strings))
+        padded = np.concatenate([signs, np.full(4, 256)])
+        key, last = np.zeros(n, dtype=U), np.zeros(n, dtype=bool)  # whether a string ends within the key, which tells it from all others
+        for k in range(4):
+            key = key << U(16) | np.where(last, 0, np.minimum(padded[k : k + n], 256)).astype(U)
+            last |= padded[k : k + n] >= 256
+        order = np.argsort(key, kind="stable")  # keys with ends: by place, which is the order of the ends
+        ranks, width, new = [], 4, np.concatenate([[False], (key[order][1:] != key[order][:-1]) | last[order][1:]])
         while True:
-            new = np.concatenate([[False], step[order][1:] != step[order][:-1]])
             rank = np.empty(n, dtype=np.int64)
             rank[order] = np.cumsum(new)
             ranks.append((width, rank))
-            if width >= 2 * LENGTH or new[1:].all():
+            if new[1:].all():
                 break
             beyond = np.zeros(n, dtype=np.int64)
             beyond[: n - width] = rank[width:] + 1
             step = rank * (n + 1) + beyond
             order = np.argsort(step, kind="stable")
+            new = np.concatenate([[False], step[order][1:] != step[order][:-1]])
             width *= 2
-        before = padded[order - 1].astype(np.int16)
-        before[order == 0] = 256  # nothing stands before the first place, so its match is a sample of its own
+        before = signs[order - 1]  # an end stands before each string, so the matches of its first place are samples of their own
         edge = np.flatnonzero(before[1:] != before[:-1]) + 1  # a run begins at each
         tails, heads = order[edge - 1], order[edge]
         match = np.zeros(len(edge), dtype=np.int64)
         for width, rank in reversed(ranks):
             i, j = tails + match, heads + match
-            inside = np.maximum(i, j) < n
-            same = np.zeros(len(edge), dtype=bool)
-            same[inside] = rank[i[inside]] == rank[j[inside]]
+            same = rank[i] == rank[j]
             match[same] += width
-        for _ in range(7):
-            i, j = tails + match, heads + match
-            same = (np.maximum(i, j) < n) & (padded[np.minimum(i, n)] == padded[np.minimum(j, n)])
+        for _ in range(3):
+            same = signs[tails + match] == signs[heads + match]
             match[same] += 1
         self.n, self.runs = n, len(edge) + 1
         self.heads, self.tails, self.match = heads, tails, match
-        self.ends = order[[0, -1]] if n else order
+        self.outer = order[[0, -1]]
 
     def statistics(self) -> np.ndarray:
-        """The longest match elsewhere of the suffix at each place, as the strings stream by (matches above twice LENGTH count as that)."""
+        """The longest match elsewhere of the suffix at each place, as the strings stream by."""
         out = np.zeros(self.n, dtype=np.int64)
-        for places, ends in ((self.heads, self.ends[:1]), (self.tails, self.ends[-1:])):
+        for places, outer in ((self.heads, self.outer[:1]), (self.tails, self.outer[-1:])):
             sample = np.full(self.n, -1, dtype=np.int64)
-            sample[ends] = 0
+            sample[outer] = 0
             sample[places] = self.match
             last = np.maximum.accumulate(np.where(sample >= 0, np.arange(self.n), 0))
             np.maximum(out, np.maximum(sample[last], 0) - (np.arange(self.n) - last), out=out)
@@ -273,19 +275,16 @@ class RunLengthIndex:
 
 def _repeated(strings: list[bytes]) -> list[list[tuple[int, int]]]:
     """The stretches (start, end) of each string that windows cover which stand elsewhere in the strings."""
-    data = np.frombuffer(b"".join(s + b"\xff" for s in strings), dtype=np.uint8)
-    ends = np.cumsum([len(s) + 1 for s in strings])
-    statistics = RunLengthIndex(data).statistics()
-    place = np.arange(len(data))
-    of = np.searchsorted(ends, place, side="right")
-    hit = (statistics >= LENGTH) & (ends[of] - 1 - place >= LENGTH)
+    index = RunLengthIndex(strings)
+    ends = index.ends
+    at = np.flatnonzero(index.statistics() >= LENGTH)
+    of = np.searchsorted(ends, at, side="right")
     out: list[list[tuple[int, int]]] = [[] for _ in strings]
-    at = np.flatnonzero(hit)
     if not len(at):
         return out
-    new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (of[at[1:]] != of[at[:-1]])]))
+    new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (of[1:] != of[:-1])]))
     for a, b in zip(new.tolist(), [*new[1:].tolist(), len(at)], strict=True):
-        k = int(of[at[a]])
+        k = int(of[a])
         base = int(ends[k]) - len(strings[k]) - 1
         out[k].append((int(at[a]) - base, int(at[b - 1]) - base + LENGTH))
     return out

@@ -190,6 +190,20 @@ def test_repeated_passages(docs, none, rows):
     assert repeats.repeats(none).count() == 0
 
 
+def test_matches_do_not_run_into_the_next_string():
+    n = repeats.LENGTH
+    for seed in range(4, 30, 5):
+        r = random.Random(seed)
+        draw = lambda k, r=r: bytes(r.choices(b"abcdefgh", k=k))
+        head, tail, strings = draw(330), draw(330), []
+        for _ in range(r.randint(3, 8)):
+            strings += [draw(r.randint(1, 5)) + tail[r.randint(0, 60) :], head[: r.randint(230, 330)] + draw(r.randint(1, 5))]
+        strings += [b"\xff" * 300, b"\xff" * 250 + b"\0"]
+        seen = Counter(s[k : k + n] for s in strings for k in range(len(s) - n + 1))
+        want = [{p for k in range(len(s) - n + 1) if seen[s[k : k + n]] > 1 for p in range(k, k + n)} for s in strings]
+        assert [{p for a, b in spans for p in range(a, b)} for spans in repeats._repeated(strings)] == want, seed
+
+
 def test_packing(docs, none, rows):
     got = packing.packed(packing.pieces(docs)).collect()
     by = {}
