@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import measures as M
@@ -96,12 +96,14 @@ def criterion(rows: DataFrame, value: str, factor: float = 1.0) -> DataFrame:
     return sums.crossJoin(F.broadcast(auc)).select("mean", "sd", F.when(F.col("other") >= F.col("mean"), 1).otherwise(-1).alias("sign"), F.least(F.lit(1.0), F.greatest(F.lit(0.15), gap / 2)).alias("raw"), "auc", "p50", "p90").withColumn("weight", F.col("raw") * F.lit(float(factor))).drop("raw")  # one row each
 
 
-def floor_percentile(rows: DataFrame, key: str, value: str, share: float) -> DataFrame:
-    """key, value: the one at the floored place of each key's sorted values. Values are counted first, so equal ones are one row."""
+def floor_percentile(rows: DataFrame, key: str, value: str, share: float, place: Callable[[Column], Column] = F.floor) -> DataFrame:
+    """key, value: the one at the floored place of each key's sorted values, nulls last. Values are counted first, so equal ones are one row.
+
+    place: what makes a place of the share of the rows, where it is not floored."""
     per = rows.groupBy(key, value).agg(F.count("*").alias("n"))
-    order = Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy(key).orderBy(F.asc_nulls_last(value)).rowsBetween(Window.unboundedPreceding, 0)
     per = per.withColumns({"to": F.sum("n").over(order), "all": F.sum("n").over(Window.partitionBy(key))})
-    at = F.least(F.floor(F.col("all") * F.lit(share)), F.col("all") - 1)
+    at = F.least(place(F.col("all") * F.lit(share)).cast("long"), F.col("all") - 1)
     return per.filter((F.col("to") > at) & (F.col("to") - F.col("n") <= at)).select(key, value)
 
 

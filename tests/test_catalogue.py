@@ -32,6 +32,16 @@ def test_query_equals_its_sql(spark, duck, name):
     assert sorted(repr(tuple(r[c] for c in columns)) for r in got.collect()) == sorted(repr(tuple(r[k] for k in at)) for r in want.fetchall())
 
 
+def test_percentile_places_round_as_the_sql_does(spark, tmp_path):
+    sizes = [(f"s{n}" if n else None, n or 4) for n in range(30)]
+    rows = [(s, None if k % 11 == 10 or s == "s1" else k * k % 37) for s, n in sizes for k in range(n)]
+    spark.createDataFrame(rows, "source string, n_chars long").withColumn("text", F.lit("x")).write.parquet(f"{tmp_path}/documents.parquet")
+    own = duckdb.connect()
+    own.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = own.sql(catalogue.oracle_sql()["q_floor_percentile"]).fetchall()
+    assert set(map(tuple, catalogue.queries()["q_floor_percentile"](spark, str(tmp_path)).select("source", "p90").collect())) == set(want) and len(want) == 30
+
+
 @pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
 def test_query_without_sql_runs(spark, name):
     assert catalogue.queries()[name](spark, DIR).count() > 0
