@@ -26,6 +26,8 @@ from . import common, webp
 
 WIDTH, ROWS = 144, 32
 ROW = 4 * WIDTH
+#: Where the counts of each channel begin; bits that a symbol's code and a transform take, about.
+OFFSETS, CODE_BITS, TRANSFORM_BITS = np.arange(4) * 256, 4, 200
 #: Images that are coded at once, about.
 BATCH = 1024
 READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -47,7 +49,48 @@ def _form(image: np.ndarray) -> dict | None:
         return {"palette": True, "matches": True}
     if len(image) >= 4 and len(np.unique(numbers, axis=0)) * 2 <= len(image):
         return {"matches": True, "cache_bits": 6}
-    return None
+    return _transform(image)
+
+
+def _bits(x: np.ndarray) -> float:
+    """What the samples take by the entropy of each channel, and about so much for the codes themselves."""
+    counts = np.bincount((x.reshape(-1, 4) + OFFSETS).ravel(), minlength=1024)
+    some = counts[counts > 0]
+    n = x.size // 4
+    return float((some * np.log2(n / some)).sum()) + CODE_BITS * len(some)
+
+
+def _slope(of: np.ndarray, by: np.ndarray) -> int:
+    """The multiplier, in 32nds, by which one channel follows another best."""
+    a, b = of.astype(np.int8).astype(np.float64), by.astype(np.int8).astype(np.float64)
+    return int(np.clip(np.rint(32 * (a * b).sum() / max((b * b).sum(), 1.0)), -128, 127))
+
+
+def _transform(image: np.ndarray) -> dict | None:
+    """The transform of an image whose residuals take the fewest bits, or none where the samples themselves do."""
+    green, red, blue = image[..., 0], image[..., 1], image[..., 2]
+    cross = (_slope(red, green), _slope(blue, green), 0)
+    options = [{"subtract_green": True}, {"cross_colour": cross}, *({"predictor": m} for m in (1, 2))]
+    least, best = _bits(image) - TRANSFORM_BITS, None
+    for o in options:
+        if (bits := _bits(_residual(image, o))) < least:
+            least, best = bits, o
+    return best
+
+
+def _residual(image: np.ndarray, option: dict) -> np.ndarray:
+    out = image.copy()
+    if "subtract_green" in option:
+        out[..., 1:3] -= image[..., :1]
+    elif "cross_colour" in option:
+        green = image[..., 0].astype(np.int8).astype(np.int32)
+        for k, by in zip((1, 2), option["cross_colour"], strict=False):
+            out[..., k] -= (by * green >> 5).astype(np.uint8)
+    elif option["predictor"] == 1:
+        out[:, 1:] -= image[:, :-1]
+    else:
+        out[1:] -= image[:-1]
+    return out
 
 
 def stored_forms(payloads: list[bytes]) -> list[bytes]:

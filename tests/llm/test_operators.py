@@ -253,6 +253,28 @@ def test_media(docs, none, rows):
     assert media.read(media.write(none)).count() == 0
 
 
+def test_images_take_the_transform_that_is_cheapest():
+    r = random.Random(6)
+    draw = lambda k: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=k))
+    line = draw(576)
+    near = "".join(line[:k] + draw(20) + line[k + 20 :] for k in (r.randint(0, 550) for _ in range(20)))
+    grey = "".join(c * 4 for c in draw(2000))
+    drift = "".join(chr(33 + g) + chr(33 + g // 2) + chr(120 - g // 2) + "x" for g in (r.randint(0, 90) for _ in range(2000)))
+    side = "".join(c * 4 * r.randint(5, 40) for c in draw(200))
+    texts = [near, grey, drift, side, draw(5000)]
+    payloads = [media.payload(t.encode()) for t in texts]
+    forms = [media._form(media.images(p)[0]) or {} for p in payloads]
+    assert forms[0] == {"predictor": 2} and "cross_colour" in forms[2] and {"subtract_green", "cross_colour"} & set(forms[1]) and forms[3] == {"predictor": 1} and forms[4] == {}
+    stored = media.stored_forms(payloads)
+    assert media.read_back(stored) == payloads
+    for p, m in zip(payloads[:4], stored, strict=False):
+        assert len(m) < sum(map(len, webp.encode_many(media.images(p))))
+    for p in payloads:
+        image = media.images(p)[0]
+        e = np.broadcast_to(np.array([37, -20, 0]) & 255, (9, 36, 3))
+        assert np.array_equal(media._residual(image, {"cross_colour": (37, -20, 0)}), webp._cross(image, e, 4, False))
+
+
 def test_warc(spark, tmp_path):
     html = ["<p>a</p>", "WARC/1.1\r\n\r\nx\r\n\r\n", "", None, "é" * 500, "<p>a</p>", "\r\n\r\n"]
     pages = spark.createDataFrame([(k, f"http://www.H{k % 2}.org:80/p?b&a#x", h, "c") for k, h in enumerate(html)] + [(None, None, "lone", "c")], "page_id long, url string, html string, run string")
